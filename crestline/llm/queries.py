@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crestline.llm import decontam
+from crestline.llm import bpe, decontam
 from crestline.llm.common import read_table
 
 
+def op2_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_benchmark_decontamination,)}
+    return {f.__name__: f for f in (op2_bpe_encoding, op9_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
