@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crestline.session import ship
+
 #: Bounds of one Arrow batch, so that a task's Python memory doesn't follow the number of rows.
 BATCH_ROWS, BATCH_BYTES = 4000, 16 << 20
 
@@ -28,7 +30,8 @@ def narrow(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def arrow_limits(spark: SparkSession) -> None:
-    """Bounds the batches that go to Python workers, by rows and bytes."""
+    """Bounds the batches that go to Python workers, by rows and bytes, and sends them this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crestline.llm import bpe, decontam
+from crestline.llm import bpe, decontam, repair
 from crestline.llm.common import read_table
 
 
@@ -18,8 +18,12 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.index(repair.write_shards(read_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_encoding, op9_benchmark_decontamination)}
+    return {f.__name__: f for f in (op2_bpe_encoding, op9_benchmark_decontamination, op10_token_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
