@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crestline.llm import bpe, decontam, dedup, repair
+from crestline.llm import bpe, decontam, dedup, quality, repair
 from crestline.llm.common import read_table
 
 
@@ -18,6 +18,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.components(read_table(spark, sf_dir, "documents"), similarity=85)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(read_table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -27,7 +31,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_encoding, op3_minhash_near_dedup, op9_benchmark_decontamination, op10_token_shards)}
+    return {f.__name__: f for f in (op2_bpe_encoding, op3_minhash_near_dedup, op4_quality_rules, op9_benchmark_decontamination, op10_token_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
