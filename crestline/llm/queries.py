@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crestline.llm import bpe, decontam, dedup, quality, repair
+from crestline.llm import bpe, decontam, dedup, langid, quality, repair, toxicity
 from crestline.llm.common import read_table
 
 
@@ -22,6 +22,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(read_table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -31,7 +39,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_encoding, op3_minhash_near_dedup, op4_quality_rules, op9_benchmark_decontamination, op10_token_shards)}
+    return {f.__name__: f for f in (op2_bpe_encoding, op3_minhash_near_dedup, op4_quality_rules, op5_toxicity, op8_language_id, op9_benchmark_decontamination, op10_token_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
