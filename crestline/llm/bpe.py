@@ -26,12 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
 
 from crestline.llm.common import arrow_limits, binary_text, narrow
 
 #: Pieces (and, apart from them, words) whose ids a worker keeps.
-CACHE = 400_000
+CACHE = 600_000
 #: Pairs of state and token whose answer a worker keeps.
 PAIRS = 2_000_000
 
@@ -98,40 +98,89 @@ class MergeAutomaton:
         return True
 
 
-class Encoder:
-    """A tokenizer file's pre-splitting, around the automaton of its merges."""
+class Splitter:
+    """A tokenizer file's pre-splitting and caches; word_ids() is for the encoders below."""
+
+    kind = np.uint16
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
+            self.spec = json.load(f)
+        model = self.spec["model"]
         if model["type"] != "BPE" or model["dropout"] or model["byte_fallback"] or model["continuing_subword_prefix"]:
             raise ValueError(f"{path}: not a plain byte-level BPE vocabulary")
-        self.suffix = model["end_of_word_suffix"] or ""
-        vocab: dict[str, int] = model["vocab"]
-        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
+        added = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in self.spec["added_tokens"]):
             raise ValueError(f"{path}: such added tokens aren't supported")
         #: As the tokenizer itself normalises and pre-splits; used for what isn't plain Latin text.
-        whole = Tokenizer.from_file(path)
-        self.normalizer, self.splitter = whole.normalizer, whole.pre_tokenizer
-        self.labels = [""] * (1 + max([*vocab.values(), *added.values()]))
-        for text, k in [*vocab.items(), *added.items()]:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.normalizer, self.splitter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.labels = [""] * (1 + max([*model["vocab"].values(), *added.values()]))
+        if len(self.labels) > 1 << 16:
+            self.kind = np.uint32
+        for text, k in [*model["vocab"].items(), *added.items()]:
             self.labels[k] = text
-        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.automaton = MergeAutomaton(len(self.labels), [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
-        self._table(vocab, {a + b for a, b in merges})
-        self.added = {k.encode(): bytes(np.array([v], np.uint16)) for k, v in added.items()}
+        self.added = {k.encode(): np.array([v], self.kind).tobytes() for k, v in added.items()}
         self.special = re.compile(b"(" + b"|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + b")") if added else None
-        self.bytes_of = {c: b for b, c in enumerate(byte_symbols())}
+        self.symbols = byte_symbols()
+        self.bytes_of = {c: b for b, c in enumerate(self.symbols)}
         self.words: dict[bytes, bytes] = {}
         self.pieces = _Pieces(self)
 
+    def word_ids(self, word: bytes) -> list[int]:
+        raise NotImplementedError
+
+    def word(self, word: bytes) -> bytes:
+        """The ids of a pre-split word, packed."""
+        if (got := self.words.get(word)) is None:
+            if len(self.words) >= CACHE:
+                self.words.clear()
+            got = self.words[word] = np.array(self.word_ids(word), self.kind).tobytes()
+        return got
+
+    def split(self, piece: bytes) -> list[bytes]:
+        """The pre-split words of text without white space of ASCII and without added tokens."""
+        if piece.isascii():
+            return _ASCII.findall(piece.lower())
+        text = piece.decode("utf-8", "replace")
+        if _PLAIN.fullmatch(text):
+            return [w.encode() for w in _LATIN.findall(text.lower())]
+        at = self.bytes_of
+        return [bytes(at[c] for c in w) for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
+
+    def piece(self, piece: bytes) -> bytes:
+        if self.special is None or b"<" not in piece or not self.special.search(piece):
+            return b"".join(map(self.word, self.split(piece)))
+        return b"".join(self.added[x] if i % 2 else b"".join(map(self.word, self.split(x))) for i, x in enumerate(self.special.split(piece)))
+
+    def encode(self, text: bytes) -> np.ndarray:
+        """The ids of a whole text in UTF-8."""
+        if len(self.pieces) >= CACHE:
+            self.pieces.clear()
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, text.split())), self.kind)
+
+    def decode(self, ids: list[int]) -> str:
+        """The labels of the ids, joined by a space."""
+        return " ".join(map(self.labels.__getitem__, ids))
+
+
+class Encoder(Splitter):
+    """Encodes words by the automaton of the file's merges."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        model = self.spec["model"]
+        vocab: dict[str, int] = model["vocab"]
+        self.suffix = model["end_of_word_suffix"] or ""
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.automaton = MergeAutomaton(len(self.labels), [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
+        self._table(vocab, {a + b for a, b in merges})
+
     def _table(self, vocab: dict[str, int], merged: set[str]) -> None:
         """Transitions over bytes: node << 8 | byte -> node; inner[node] and final[node] are the token that ends there, within or at a word's end."""
-        code = {c: b for b, c in enumerate(byte_symbols())}
+        code = self.bytes_of
         self.step: dict[int, int] = {}
         self.inner, self.final = [-1], [-1]
         for text, k in vocab.items():
@@ -154,15 +203,7 @@ class Encoder:
                 if not self.suffix:
                     self.final[node] = k
 
-    def word(self, word: bytes) -> bytes:
-        """The ids of a pre-split word, as 16-bit integers."""
-        if (got := self.words.get(word)) is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            got = self.words[word] = np.array(self._run(word), np.uint16).tobytes()
-        return got
-
-    def _run(self, word: bytes) -> list[int]:
+    def word_ids(self, word: bytes) -> list[int]:
         n, step, inner, final, target, allowed = len(word), self.step, self.inner, self.final, self.automaton.target, self.automaton.allowed
         token, back = [-1] * (n + 1), [0] * (n + 1)
         for j in range(n):
@@ -181,34 +222,9 @@ class Encoder:
             n = back[n]
         return out[::-1]
 
-    def split(self, piece: bytes) -> list[bytes]:
-        """The pre-split words of text without white space of ASCII and without added tokens."""
-        if piece.isascii():
-            return _ASCII.findall(piece.lower())
-        text = piece.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(text):
-            return [w.encode() for w in _LATIN.findall(text.lower())]
-        at = self.bytes_of
-        return [bytes(at[c] for c in w) for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
-
-    def piece(self, piece: bytes) -> bytes:
-        if self.special is None or b"<" not in piece or not self.special.search(piece):
-            return b"".join(map(self.word, self.split(piece)))
-        return b"".join(self.added[x] if i % 2 else b"".join(map(self.word, self.split(x))) for i, x in enumerate(self.special.split(piece)))
-
-    def encode(self, text: bytes) -> np.ndarray:
-        """The ids of a whole text in UTF-8, as 16-bit integers."""
-        if len(self.pieces) >= CACHE:
-            self.pieces.clear()
-        return np.frombuffer(b"".join(map(self.pieces.__getitem__, text.split())), np.uint16)
-
-    def decode(self, ids: list[int]) -> str:
-        """The labels of the ids, joined by a space."""
-        return " ".join(map(self.labels.__getitem__, ids))
-
 
 class _Pieces(dict):
-    def __init__(self, encoder: Encoder):
+    def __init__(self, encoder: Splitter):
         super().__init__()
         self.encoder = encoder
 
@@ -275,3 +291,20 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return narrow(docs, {"doc_id": "long", "text": "string"}).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_checked(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ids, n_tokens and decoded_chars (code points of what the ids decode to) of every row."""
+    path = path or default_path()
+    arrow_limits(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(path)
+        for batch in batches:
+            ids = [coder.encode(b) for b in binary_text(batch)]
+            chars = [len(coder.decode(x.tolist())) for x in ids]
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.int32), *(x.astype(np.int32) for x in ids)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, flat), pa.array(np.diff(ends), pa.int64()), pa.array(chars, pa.int64())], names=["doc_id", "ids", "n_tokens", "decoded_chars"])
+
+    return narrow(docs, {"doc_id": "long", "text": "string"}).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded_chars long")

@@ -23,7 +23,6 @@ and those alone are expanded. Null texts are empty: just the end id. An empty ta
 from __future__ import annotations
 
 import functools
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from crestline.llm.bpe import default_path
+from crestline.llm.bpe import Splitter, default_path
 from crestline.llm.common import arrow_limits, binary_text, narrow, written
 
 #: The id that closes a document.
@@ -43,47 +42,23 @@ END = 2
 SHARD_IDS = 1 << 20
 #: Rounds of replacement, new nonterminals of a round, and the least count of a pair that is replaced.
 ROUNDS, PER_ROUND, LEAST = 3, 4000, 8
-#: Pieces between white space whose ids a worker keeps.
-CACHE = 1_000_000
 
 NULL_ID = -(1 << 63)
 SCHEMA = "part long, shard long, doc_ids binary, doc_lengths binary, n_ids long, base long, rules binary, lengths binary, sequence binary, symbol_bytes int"
 
 
-class LibraryEncoder:
-    """Encodes with the tokenizers library, each different piece between white space once.
-
-    The file's pre-splitting never joins what white space parts, so a text's ids are its pieces' ids. New pieces go to
-    the library as the lines of one text; offsets tell them apart.
-    """
+class LibraryEncoder(Splitter):
+    """Encodes with the tokenizers library, each different pre-split word once while it is kept."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        super().__init__(path)
         self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.kind = np.uint16 if self.base <= 1 << 16 else np.uint32
-        self.pieces: dict[bytes, bytes] = {}
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        for at in range(0, len(pieces), 2000):
-            some = pieces[at : at + 2000]
-            texts = [p.decode("utf-8", "replace") for p in some]
-            got = self.tokenizer.encode("\n".join(texts), add_special_tokens=False)
-            begins = np.cumsum([0, *(len(t) + 1 for t in texts)])  # where each piece begins, in characters
-            of = np.array([a for a, _ in got.offsets], np.int64)
-            parts = np.split(np.array(got.ids, self.kind), np.searchsorted(of, begins[1:-1]))
-            self.pieces.update((p, x.tobytes()) for p, x in zip(some, parts, strict=True))
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        new = [p for p in set().union(*split) if p not in self.pieces]
-        if len(self.pieces) + len(new) > CACHE:
-            self.pieces.clear()
-            new = list(set().union(*split))
-        self._learn(new)
-        return [np.frombuffer(b"".join(map(self.pieces.__getitem__, s)), self.kind) for s in split]
+        self.model = self.tokenizer.model
+
+    def word_ids(self, word: bytes) -> list[int]:
+        symbols = self.symbols
+        text = word.decode() if word.isascii() and word.isalnum() else "".join([symbols[b] for b in word])
+        return [t.id for t in self.model.tokenize(text)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -195,8 +170,8 @@ def _writer(path: str, shard_ids: int, end: int):
             return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
         for batch in batches:
-            for name, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(binary_text(batch))):
-                ids = np.append(ids, coder.kind(end))
+            for name, text in zip(batch.column("doc_id").to_pylist(), binary_text(batch)):
+                ids = np.append(coder.encode(text), coder.kind(end))
                 names.append(NULL_ID if name is None else name)
                 held.append(ids)
                 total += len(ids)
