@@ -221,21 +221,23 @@ def fit(docs: DataFrame, learn=None) -> Model | None:
     return train([bytes(r.segment) for r in rows], [r.lang for r in rows])
 
 
+def _judged(m: Model | None, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    known = [m is not None and _LETTER.search(t.decode("utf-8", "replace")) is not None for t in texts]
+    sums = document_sums(m, texts) if m is not None and any(known) else np.zeros((len(texts), 1))
+    best = sums.argmax(1)
+    top = sums[np.arange(len(texts)), best] / np.maximum(1, [len(t) for t in texts])
+    return [m.languages[j] if k else UNKNOWN for j, k in zip(best.tolist(), known)], np.where(known, top, 0.0).clip(0, 1)
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred and score of every row."""
     arrow_limits(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # some 60 kB, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for batch in batches:
-            texts = binary_text(batch)
-            known = [m is not None and _LETTER.search(t.decode("utf-8", "replace")) is not None for t in texts]
-            sums = document_sums(m, texts) if m is not None and any(known) else np.zeros((len(texts), 1))
-            best = sums.argmax(1)
-            top = sums[np.arange(len(texts)), best] / np.maximum(1, [len(t) for t in texts])
-            langs = [m.languages[j] if k else UNKNOWN for j, k in zip(best.tolist(), known)]
-            score = np.where(known, top, 0.0).clip(0, 1)
+            langs, score = _judged(sent.value, binary_text(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return narrow(docs, {"doc_id": "long", "text": "string"}).mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -252,8 +254,14 @@ LEAST = 0.35
 
 
 def filter_language(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is identified."""
-    names = list(docs.columns)
-    gone = predict(docs, fit(docs)).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(F.col("doc_id").alias("gone")).distinct()
-    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    return plain.join(gone, F.col(f"c{names.index('doc_id')}").cast("long").eqNullSafe(F.col("gone")), "left_anti").toDF(*names)
+    """The rows of docs, with all their columns, whose language is identified; one pass, without a join."""
+    model, names = fit(docs), list(docs.columns)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    plain, column = docs.toDF(*(f"c{i}" for i in range(len(names)))), f"c{names.index('text')}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, score = _judged(sent.value, binary_text(batch, column))
+            yield batch.filter(pa.array([x != UNKNOWN and y >= least for x, y in zip(langs, score.tolist())], pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm.common import narrow, shared_dir, written
+from crestline.llm.common import narrow, written
 
 #: Steps of expectation-maximisation, and where it begins.
 STEPS, PRIOR, ON_GOOD, ON_BAD = 30, 0.9, 0.95, 0.6
@@ -58,21 +58,26 @@ def _covered(windows: Column) -> Column:
     return F.when(F.size(windows) == F.size(F.array_distinct(windows)), F.lit(0)).otherwise(_let(_let(pairs, again), cover))
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts of every text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_other, n_stops."""
-    text = narrow(docs, {"doc_id": "long", "text": "string"}).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    trimmed = F.btrim("text", F.lit(SPACE))
+def _counted(held: DataFrame, column: str) -> DataFrame:
+    """held and the counts of its text column; its own columns mustn't have their names."""
+    text = F.coalesce(F.col(column), F.lit(""))
+    trimmed = F.btrim(text, F.lit(SPACE))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    dense = F.translate("text", SPACE, "")
-    hashed = text.select(
-        "doc_id",
-        _let(lines, lambda x: F.struct(F.size(x).alias("all"), F.size(F.array_distinct(x)).alias("different"))).alias("l"),
-        _let(dense, lambda x: F.struct(F.length(x).alias("all"), F.length(F.translate(x, SYMBOLS, "")).alias("plain"), F.length(F.translate(x, OTHER, "")).alias("usual"), F.length(F.translate(x, ".!?", "")).alias("open"))).alias("c"),
-        _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.struct(F.size(h).alias("n"), _let(_windows(h), _covered).alias("again"))).alias("w"),
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
+    dense = F.translate(text, SPACE, "")
+    hashed = held.select(
+        "*",
+        _let(lines, lambda x: F.struct(F.size(x).alias("all"), F.size(F.array_distinct(x)).alias("different"))).alias("_l"),
+        _let(dense, lambda x: F.struct(F.length(x).alias("all"), F.length(F.translate(x, SYMBOLS, "")).alias("plain"), F.length(F.translate(x, OTHER, "")).alias("usual"), F.length(F.translate(x, ".!?", "")).alias("open"))).alias("_c"),
+        _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.struct(F.size(h).alias("n"), _let(_windows(h), _covered).alias("again"))).alias("_w"),
     )
-    found = {"n_words": "w.n", "word_chars": "c.all", "n_symbols": "c.all - c.plain", "n_dup_lines": "l.all - l.different", "n_repeat_words": "w.again", "n_lines": "l.all", "n_other": "c.all - c.usual", "n_stops": "c.all - c.open"}
-    return hashed.select("doc_id", *(F.expr(f"cast({e} as bigint)").alias(n) for n, e in found.items()))
+    found = {"n_words": "_w.n", "word_chars": "_c.all", "n_symbols": "_c.all - _c.plain", "n_dup_lines": "_l.all - _l.different", "n_repeat_words": "_w.again", "n_lines": "_l.all", "n_other": "_c.all - _c.usual", "n_stops": "_c.all - _c.open"}
+    return hashed.withColumns({n: F.expr(f"cast({e} as bigint)") for n, e in found.items()}).drop("_l", "_c", "_w")
+
+
+def counts(docs: DataFrame) -> DataFrame:
+    """doc_id and the counts of every text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_other, n_stops."""
+    return _counted(narrow(docs, {"doc_id": "long", "text": "string"}), "text").drop("text")
 
 
 def votes() -> list[Column]:
@@ -137,24 +142,28 @@ def fitted(patterns: DataFrame, n_rules: int) -> DataFrame:
     return model.select(F.explode("rows").alias("row"), "model").select("row.votes", _posterior(F.col("row.votes"), F.col("model.prior"), F.col("model.accuracy")).alias("posterior"))
 
 
-def assess(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts, votes, posterior, base_failed and kept of every row."""
-    shared_dir(docs.sparkSession)
+def _assessed(counted: DataFrame) -> DataFrame:
+    """Rows with counts, once written; votes, posterior, base_failed and kept are added."""
     rules = votes()
-    held = written(counts(docs).withColumn("votes", F.array(*rules)), "quality")
+    held = written(counted.withColumn("votes", F.array(*rules)), "quality")
     model = fitted(held.groupBy("votes").agg(F.count("*").alias("n")), len(rules))
     failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT} * n_words")
     # at most 3 ** 7 rows are broadcast
     return held.join(F.broadcast(model), "votes").withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= LEAST))
 
 
+def assess(docs: DataFrame) -> DataFrame:
+    """doc_id, the counts, votes, posterior, base_failed and kept of every row."""
+    return _assessed(counts(docs))
+
+
 def report(docs: DataFrame) -> DataFrame:
     return assess(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that are kept."""
+    """The rows of docs, with all their columns, that are kept; their texts are written once, and not shuffled."""
     names = list(docs.columns)
-    gone = assess(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    return plain.join(gone, F.col(f"c{names.index('doc_id')}").cast("long").eqNullSafe(F.col("gone")), "left_anti").toDF(*names)
+    plain = [f"c{i}" for i in range(len(names))]
+    counted = _counted(docs.toDF(*plain), f"c{names.index('text')}")
+    return _assessed(counted).where("kept").select(*plain).toDF(*names)
