@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -26,3 +27,13 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; where the cluster names none (tests), a local one is set."""
+    sc = spark.sparkContext
+    held = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not held:
+        held = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
+        sc.setCheckpointDir(held)
+    return held
