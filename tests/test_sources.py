@@ -1,0 +1,136 @@
+import json
+import os
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from crestline.functions.geo import Affine
+from crestline.operators import summary
+from crestline.sources import npy, raster, results
+from crestline.streaming import incremental
+
+ROW = (1, 2, 3.5, 4.5, -10.25, 30.0, 1.5, 0.0, -0.5)
+
+
+def scanned(spark):
+    return spark.createDataFrame([ROW, (5, *ROW[1:])], results.STRIDED)
+
+
+def test_json_envelope_and_list(spark, tmp_path):
+    results.write_json(scanned(spark), str(tmp_path / "a.json"), dem_basename="x", stride=3)
+    assert json.loads((tmp_path / "a.json").read_text())["completed"] == 2
+    back = results.read_table(spark, str(tmp_path / "a.json"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, scanned(spark).collect()))
+    (tmp_path / "b.json").write_text(json.dumps([{"row": 1, "col": 2, "lat": 0.5, "full_profile_deg": [1.0, None]}]))
+    bare = results.read_json(spark, str(tmp_path / "b.json")).first()
+    assert (bare.row, bare.lat, bare.full_profile_deg) == (1, 0.5, [1.0, None])
+
+
+def test_conversion_and_polar_columns(spark, tmp_path):
+    results.write_json(scanned(spark), str(tmp_path / "a.json"))
+    assert results.convert_all(spark, [str(tmp_path / "a.json")]) == [str(tmp_path / "a.csv")]
+    assert results.read_csv(spark, str(tmp_path / "a.csv"), with_file=True).where("file like '%.csv'").count() == 2
+    held = results.add_polar_columns(spark, str(tmp_path / "a.json"), max_lat=90.0)
+    assert {"x_km", "y_km", "rho_km", "azimuth_deg"} <= set(held.columns)
+    with pytest.raises(ValueError):
+        results.guard("same", source="same")
+    with pytest.raises(FileExistsError):
+        results.guard(str(tmp_path))
+
+
+def test_box_csv(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 0, *ROW[:5], 30.5, 1.5, None, None)], results.BOX)
+    text = results.box_text(rows).first()
+    assert (text.lat, text.h_target, text.worst_azimuth, text.best_azimuth, text.best_angle_deg) == ("3.50000000", "-10.25", "30.5", "", "")
+    results.write_box_csv(rows, str(tmp_path / "box"))
+    back = results.read_csv(spark, str(tmp_path / "box"), results.BOX).first()
+    assert (back.worst_azimuth, back.best_azimuth) == (30.5, None)
+
+
+def test_gain_cuts(spark, tmp_path):
+    (tmp_path / "g.csv").write_text("# a\n# b\ntheta_deg,elevation_deg,E,H,En,Hn\n-180,-90,1,2,3,4\n")
+    assert results.read_gain_cuts(spark, str(tmp_path / "g.csv")).first().elevation_deg == -90
+
+
+def test_images(spark, tmp_path):
+    (tmp_path / "m.png").write_bytes(b"abc")
+    assert results.read_images(spark, str(tmp_path / "m.png")).first().length == 3
+
+
+def test_npy(spark, tmp_path):
+    data = np.arange(60, dtype=np.float32).reshape(10, 6)
+    data[3, 2] = np.nan
+    for k in range(2):
+        np.save(tmp_path / f"part_{k}.npy", data[k * 5 : k * 5 + 5])
+    rows = {r.row: r.h for r in npy.read_npy(spark, str(tmp_path / "part_*.npy"), 2).collect()}
+    assert sorted(rows) == list(range(10)) and rows[3][2] is None and rows[9] == data[9].tolist()
+    npy.write_npy(spark.createDataFrame(list(rows.items()), "row int, h array<double>"), str(tmp_path / "all.npy"), 10, 6)
+    assert np.array_equal(np.load(tmp_path / "all.npy"), data, equal_nan=True)
+
+
+def test_meta_and_manifest(spark, tmp_path):
+    rows = spark.range(10).select(F.col("id").cast("int").alias("row"), F.array(*(F.lit(k).cast("smallint") for k in range(4))).alias("dn"))
+    d = raster.ingest(rows, Affine(1.0, 0, 0, 0, -1.0, 0), 10, 4, 0.5, 1.0, 3, decode=False, chunk_mb=24e-6)
+    assert d.rows_per_chunk == 3
+    raster.write_meta(str(tmp_path / "m.json"), d.meta())
+    back = raster.from_meta(rows, raster.read_meta(spark, str(tmp_path / "m.json")))
+    assert (back.n_rows, back.scale, back.rows_per_chunk) == (10, 0.5, 3)
+    assert back.heights().first().h == [1.0, 1.5, 2.0, None]
+    broken = spark.createDataFrame([(0, 3), (4, 10)], "row_start int, row_end int")
+    with pytest.raises(ValueError):
+        raster.check_manifest(broken, 10)
+    d.chunked().write.partitionBy("chunk").parquet(str(tmp_path / "raster"))
+    assert len([x for x in os.listdir(tmp_path / "raster") if x.startswith("chunk=")]) == 4
+
+
+def test_slices_resume(spark, tmp_path):
+    path, calls = str(tmp_path / "out"), []
+    grid = spark.range(10).select(F.col("id").alias("target_id"))
+
+    def scan(t):
+        calls.append(1)
+        return t.withColumn("v", F.col("target_id") * 2)
+
+    def broken(t):
+        if t.where("target_id >= 6").count():
+            raise RuntimeError
+        return scan(t)
+
+    with pytest.raises(RuntimeError):
+        incremental.in_slices(grid, broken, path, 3)
+    first = len(calls)
+    assert sorted(r.target_id for r in incremental.in_slices(grid, scan, path, 3).collect()) == list(range(10))
+    assert len(calls) - first == 2
+    incremental.in_slices(grid, scan, path, 3)
+    assert len(calls) - first == 2
+
+
+def test_stream(spark, tmp_path):
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 10).select(F.col("id").alias("target_id")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second run finds nothing to do
+        incremental.stream_targets(spark, str(tmp_path / "in"), "target_id long", lambda t: t.withColumn("v", F.lit(1)), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 30
+
+
+def test_histogram_edges(spark):
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "a"), (3.0, "a"), (5.0, "b"), (None, "b"), (float("nan"), "b")], "v double, g string")
+    assert [r.n for r in summary.histogram(df, "v", 4).orderBy("bin").collect()] == [1, 1, 1, 1]
+    by = {(r.g, r.bin): r.n for r in summary.histogram(df, "v", 2, "g").collect()}
+    assert by == {("a", 0): 1, ("a", 1): 2, ("b", 0): 0, ("b", 1): 1}
+    assert sum(r.n for r in summary.histogram(df, "v", 2, "g", shared=True).collect()) == 4
+    assert summary.histogram(df.where("v > 100"), "v").count() == 0
+
+
+def test_names_and_collisions(spark):
+    df = spark.createDataFrame([(-80.0, 10.0)], "latitude double, Lon double")
+    held = summary.with_polar_columns(df)
+    with pytest.raises(ValueError):
+        summary.with_polar_columns(held)
+    assert summary.with_polar_columns(held, overwrite=True).columns == held.columns
+    with pytest.raises(ValueError):
+        summary.pick(df, ("x",))
+    with pytest.raises(ValueError):
+        summary.require(df, "row")
+    assert summary.drop_unknown(spark.createDataFrame([(float("nan"),), (1.0,), (None,)], "v double"), "v").count() == 1
