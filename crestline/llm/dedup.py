@@ -13,11 +13,12 @@ collisions of about 2 ** -MANTISSA, which the estimate takes off.
 50 million. Sets of five shingles or fewer link with equal sets only, and have no keys.
 
 *Links.* In each bucket of a band the classes are compared with one centre, not with each other: each class keeps its
-best centre (most shared bands), pairs pass on their estimate, and the rest are confirmed on the full sets. Components
-follow, and the next round takes another centre in the buckets that still hold several components. At last the pairs
-between different components of one bucket are compared all; buckets of more than SMALL classes are first split by a
-second and third band that must agree as well. A pair within one component needs no link of its own, so the
-components are those of all links.
+best centre (most shared bands; the first centres are those that share buckets with most classes), pairs pass on their estimate, and the rest are confirmed on the full sets. Components
+follow, and the next round takes another centre in the buckets that still hold several components. What classes are
+left in such buckets are compared exactly: shingles in order of rarity, two sets that reach the similarity share one
+of their rarest few, at places that leave enough behind them to reach it. That join's pairs, of different components
+only, are estimated and confirmed in turn. A pair within one component needs no link of its own, so the components are
+those of all links.
 
 Null and empty texts have an empty set, are linked with nothing and stay. Rows of one doc_id stay or go together.
 """
@@ -31,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from crestline.llm.common import arrow_limits, binary_text, narrow, written
 
@@ -38,8 +40,8 @@ SHINGLE, SIMILARITY = 5, 80
 REGISTERS, MANTISSA, BANDS = 128, 10, 24
 #: How far, in standard deviations of about 0.035, an estimate may fall short of the limit before a pair is given up.
 SLACK = 0.17
-#: Rounds of centres; classes of a bucket of which all pairs are compared; members of a centre that one task gets.
-ROUNDS, SMALL, SALT = 3, 48, 1000
+#: Rounds of centres; members of a centre that one task gets.
+ROUNDS, SALT = 2, 1000
 #: Bits of the filter that tells which sets a round needs; false hits are joined away.
 FILTER_BITS = 1 << 24
 WORDS = 300_000
@@ -217,11 +219,22 @@ class _Classes:
         bands = F.posexplode(F.slice("sig", 1, BANDS)).alias("band", "key")
         return self.classes.where("sig is not null").select("node", "n", bands)
 
-    def shared(self) -> DataFrame:
-        """The band keys that several classes have."""
+    def share(self) -> None:
+        """shared: the band keys that several classes have; sets: those classes' full sets."""
         keys = self.keys()
-        often = keys.groupBy("band", "key").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-        return written(keys.join(often, ["band", "key"]), "dedup-shared")
+        often = keys.groupBy("band", "key").agg(F.count("*").alias("c")).where("c > 1")
+        shared = written(keys.join(often, ["band", "key"]), "dedup-keys")
+        degree = shared.groupBy("node").agg(F.sum("c").alias("degree"))
+        self.shared = written(shared.drop("c").join(degree, "node"), "dedup-shared")
+        wanted = self.classes.join(self.shared.select("node").distinct(), "node").select("node", "n", "fp1", "fp2")
+        place = F.expr(f"(fp1 & {FILTER_BITS - 1}L) + 1")  # positions count from 1
+        maps = wanted.select(place.alias("k")).groupBy(F.bitmap_bucket_number("k").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("bits"))
+        bits = bytearray(FILTER_BITS // 8 + (1 << 12))
+        for bucket, some in maps.toLocalIterator():  # a bounded number of bounded bitmaps
+            at = (bucket - 1) * len(some)
+            bits[at : at + len(some)] = bytes(some)
+        sets = self.docs.mapInArrow(_sets(self.spark.sparkContext.broadcast(bytes(bits))), "fp1 long, fp2 long, shingles binary").dropDuplicates(["fp1", "fp2"])
+        self.sets = written(wanted.join(sets, ["fp1", "fp2"]).select("node", "n", "shingles"), "dedup-sets")
 
     def passed(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose estimate comes near the limit."""
@@ -235,16 +248,8 @@ class _Classes:
         salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
         members = pairs.join(salts, "a").select("a", "b", F.pmod(F.hash("b"), "salts").alias("salt"))
         centres = salts.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-        of = self.classes.select(F.col("node").alias("b"), "fp1", "fp2")
-        wanted = written(members.unionByName(centres).join(of, "b"), "dedup-wanted")
-        place = F.expr(f"(fp1 & {FILTER_BITS - 1}L) + 1")  # positions count from 1
-        maps = wanted.select(place.alias("k")).groupBy(F.bitmap_bucket_number("k").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("bits"))
-        bits = bytearray(FILTER_BITS // 8 + (1 << 12))
-        for bucket, some in maps.toLocalIterator():  # a bounded number of bounded bitmaps
-            at = (bucket - 1) * len(some)
-            bits[at : at + len(some)] = bytes(some)
-        sets = self.docs.mapInArrow(_sets(self.spark.sparkContext.broadcast(bytes(bits))), "fp1 long, fp2 long, shingles binary").dropDuplicates(["fp1", "fp2"])
-        dealt = wanted.join(sets, ["fp1", "fp2"]).select("a", "b", "salt", "shingles")
+        sets = self.sets.select(F.col("node").alias("b"), "shingles")
+        dealt = members.unionByName(centres).join(sets, "b").select("a", "b", "salt", "shingles")
         dealt = dealt.repartition("a", "salt").sortWithinPartitions("a", "salt", F.expr("a != b"))
         return written(dealt.mapInArrow(_confirmed(self.similarity), "a long, b long"), "dedup-links")
 
@@ -276,30 +281,26 @@ def _joined(links: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def components(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the component) and kept, for each row of docs."""
-    held = _Classes(docs, similarity)
-    shared, labels = held.shared(), None
-
-    def labelled() -> DataFrame:
-        if labels is None:
-            return shared.withColumn("label", F.col("node"))
-        return shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
+    held, labels = _Classes(docs, similarity), None
+    held.share()
+    rows = held.shared.withColumn("label", F.col("node"))
     for k in range(ROUNDS):
-        rows = labelled()
-        turn = F.xxhash64("node", F.lit(k))
-        # the centre by the least hash of the round, then by its number
+        # the centre: first the class that shares most buckets with others, which is nearest to what copies were made
+        # from; then that of the least hash
+        turn = F.xxhash64("node", F.lit(k)) if k else -F.col("degree")
         open_ = rows.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(turn).alias("turn")).where("lo != hi")
-        near = rows.withColumn("own", turn).join(open_.select("band", "key", "turn"), ["band", "key"])
-        near = written(near, "dedup-near")
+        near = written(rows.withColumn("own", turn).join(open_.select("band", "key", "turn"), ["band", "key"]), "dedup-near")
         centres = near.where("own = turn").groupBy("band", "key").agg(F.min("node").alias("a"), F.min("label").alias("la"))
         pairs = near.join(centres, ["band", "key"]).where("label != la").groupBy(F.col("node").alias("b"), "a").agg(F.count("*").alias("c"))
-        best = pairs.groupBy("b").agg(F.max_by("a", F.col("c") * F.lit(1 << 20) + F.pmod(F.hash("a"), F.lit(1 << 20))).alias("a"))
+        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
         links = held.confirmed(held.passed(best.select("a", "b")))
+        rows = near.select("node", "n", "degree", "band", "key", "label")
         if links.isEmpty():
             break
         labels = _joined(links, labels)
+        rows = rows.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    pairs = written(_cross(held, labelled()), "dedup-cross")
+    pairs = written(_rare(held, rows), "dedup-rare")
     if not pairs.isEmpty():
         links = held.confirmed(held.passed(pairs))
         if not links.isEmpty():
@@ -318,29 +319,36 @@ def components(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     return out.withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
-def _cross(held: _Classes, rows: DataFrame) -> DataFrame:
-    """Pairs of classes of different components that share a bucket, and may reach the similarity by their sizes."""
-    found, keys = None, ["band", "key"]
-    rows = rows.select("node", "n", "label", *keys)
-    for depth in range(3):
-        size = rows.groupBy(*keys).agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-        rows = written(rows.join(size.select(*keys, "c"), keys), "dedup-open")
-        small = rows if depth == 2 else rows.where(F.col("c") <= SMALL)
-        x = small.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), *keys)
-        y = small.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), *keys)
-        fits = F.expr(f"a < b and la != lb and 100 * least(na, nb) >= {held.similarity} * greatest(na, nb)")
-        pairs = x.join(y, keys).where(fits).select("a", "b").distinct()
-        found = pairs if found is None else found.unionByName(pairs)
-        if depth == 2:
-            break
-        large = rows.where(F.col("c") > SMALL).drop("c")
-        if large.isEmpty():
-            break
-        more = held.keys().select("node", F.col("band").alias(f"band{depth}"), F.col("key").alias(f"key{depth}"))
-        last = keys[-2]
-        rows = large.join(more, "node").where(F.col(f"band{depth}") > F.col(last))
-        keys = [*keys, f"band{depth}", f"key{depth}"]
-    return found.distinct()
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, 64):
+            part = batch.slice(k, 64)
+            sets = [_wide(x).astype(np.int64) for x in part.column("shingles").to_pylist()]
+            size = [len(x) for x in sets]
+            again = lambda name: np.repeat(part.column(name).to_numpy(), size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets])), *(pa.array(again(x), pa.int64()) for x in ("node", "n", "label"))], names=["token", "node", "n", "label"])
+
+
+def _rare(held: _Classes, rows: DataFrame) -> DataFrame:
+    """Pairs of classes of different components, of those in buckets with several, that may reach the similarity.
+
+    Of n shingles in order of rarity, one of the first n - least + 1 is shared, least being the fewest that two sets
+    which reach the similarity can share. A shared one at places i and j leaves min(n - i, m - j) for the rest.
+    """
+    t = held.similarity
+    size = rows.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
+    open_ = rows.join(size.select("band", "key"), ["band", "key"]).select("node", "label").distinct()
+    tokens = open_.join(held.sets, "node").select("node", "n", "label", "shingles").mapInArrow(_tokens, "token long, node long, n long, label long")
+    tokens = written(tokens, "dedup-tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("c > 1").select("token", "c", (F.col("lo") != F.col("hi")).alias("open"))
+    turn = Window.partitionBy("node").orderBy("c", "token")
+    kept = tokens.join(often, "token").withColumn("k", F.row_number().over(turn)).withColumn("all", F.count("*").over(Window.partitionBy("node")))
+    # shingles that no other open class has come first
+    placed = kept.select("token", "open", "node", "n", "label", (F.col("n") - F.col("all") + F.col("k")).alias("i"))
+    first = written(placed.where(f"open and i <= n - ceil({t} * n / 100) + 1").drop("open"), "dedup-first")
+    x, y = first.toDF("token", "a", "na", "la", "ia"), first.toDF("token", "b", "nb", "lb", "ib")
+    fits = F.expr(f"a < b and la != lb and 1 + least(na - ia, nb - ib) >= ceil({t} * (na + nb) / {100 + t})")
+    return x.join(y, "token").where(fits).select("a", "b").distinct()
 
 
 def deduplicate(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
