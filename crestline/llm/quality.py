@@ -80,21 +80,21 @@ def counts(docs: DataFrame) -> DataFrame:
     return _counted(narrow(docs, {"doc_id": "long", "text": "string"}), "text").drop("text")
 
 
+#: Conditions on the counts under which a rule votes good, and bad (which goes first); else it abstains.
+RULES = [
+    ("n_words between 30 and 100000", "n_words < 20"),
+    ("word_chars between 3 * n_words and 10 * n_words", "word_chars < 2 * n_words or word_chars > 20 * n_words"),
+    ("20 * n_symbols <= n_words", "10 * n_symbols > n_words"),
+    ("n_lines > 3 and 20 * n_dup_lines <= n_lines", "n_lines > 3 and 10 * n_dup_lines > 3 * n_lines"),
+    ("20 * n_repeat_words <= n_words", "5 * n_repeat_words > n_words"),
+    ("50 * n_other <= word_chars", "10 * n_other > word_chars"),
+    ("n_stops > 0 and n_words <= 60 * n_stops", "n_words > 100 * n_stops"),
+]
+
+
 def votes() -> list[Column]:
-    """The rules: good, bad, or else no vote."""
-
-    def rule(good: str, bad: str) -> Column:
-        return F.expr(f"case when {bad} then -1 when {good} then 1 else 0 end")
-
-    return [
-        rule("n_words between 30 and 100000", "n_words < 20"),
-        rule("word_chars between 3 * n_words and 10 * n_words", "word_chars < 2 * n_words or word_chars > 20 * n_words"),
-        rule("20 * n_symbols <= n_words", "10 * n_symbols > n_words"),
-        rule("n_lines > 3 and 20 * n_dup_lines <= n_lines", "n_lines > 3 and 10 * n_dup_lines > 3 * n_lines"),
-        rule("20 * n_repeat_words <= n_words", "5 * n_repeat_words > n_words"),
-        rule("50 * n_other <= word_chars", "10 * n_other > word_chars"),
-        rule("n_stops > 0 and n_words <= 60 * n_stops", "n_words > 100 * n_stops"),
-    ]
+    """1, -1 or 0 of each rule."""
+    return [F.expr(f"case when {bad} then -1 when {good} then 1 else 0 end") for good, bad in RULES]
 
 
 def _logit(p: Column) -> Column:

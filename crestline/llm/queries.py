@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm import bpe, chat, decontam, dedup, langid, licenses, quality, repair, toxicity, urls
+from crestline.llm import bpe, chat, decontam, dedup, langid, licenses, oracle, quality, repair, toxicity, urls
 from crestline.llm.common import read_table
 
 
@@ -94,4 +94,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     rows = ", ".join(str(x) for x in URL_ENTRIES)
-    return {"op7_url_filters": _URL_SQL.format(rows=rows)}
+    return {
+        "op1_chat_formatting": oracle.chat_sql(),
+        "op3_minhash_near_dedup": oracle.dedup_sql(85),
+        "op4_quality_rules": oracle.quality_sql(),
+        "op7_url_filters": _URL_SQL.format(rows=rows),
+        "op9_benchmark_decontamination": oracle.decontam_sql(),
+    }
