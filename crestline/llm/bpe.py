@@ -21,6 +21,7 @@ import functools
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,20 +127,12 @@ class Splitter:
         self.special = re.compile(b"(" + b"|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + b")") if added else None
         self.symbols = byte_symbols()
         self.bytes_of = {c: b for b, c in enumerate(self.symbols)}
-        self.words: dict[bytes, bytes] = {}
+        self.words = _Words(self)
         self.pieces = _Pieces(self)
 
     def word_ids(self, word: bytes) -> list[int]:
         raise NotImplementedError
 
-    def word(self, word: bytes) -> bytes:
-        """The ids of a pre-split word, packed."""
-        if (got := self.words.get(word)) is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            got = self.words[word] = np.array(self.word_ids(word), self.kind).tobytes()
-        return got
-
     def split(self, piece: bytes) -> list[bytes]:
         """The pre-split words of text without white space of ASCII and without added tokens."""
         if piece.isascii():
@@ -151,14 +144,21 @@ class Splitter:
         return [bytes(at[c] for c in w) for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
 
     def piece(self, piece: bytes) -> bytes:
+        """The packed ids of text without white space of ASCII."""
+        word = self.words.__getitem__
+        if piece.isalpha():  # ASCII letters alone are one word, and a mark after them another
+            return word(piece.lower())
+        if piece[:-1].isalpha() and piece[-1] in b".,;:!?":
+            return word(piece[:-1].lower()) + word(piece[-1:])
         if self.special is None or b"<" not in piece or not self.special.search(piece):
-            return b"".join(map(self.word, self.split(piece)))
-        return b"".join(self.added[x] if i % 2 else b"".join(map(self.word, self.split(x))) for i, x in enumerate(self.special.split(piece)))
+            return b"".join(map(word, self.split(piece)))
+        return b"".join(self.added[x] if i % 2 else b"".join(map(word, self.split(x))) for i, x in enumerate(self.special.split(piece)))
 
     def encode(self, text: bytes) -> np.ndarray:
         """The ids of a whole text in UTF-8."""
-        if len(self.pieces) >= CACHE:
-            self.pieces.clear()
+        for kept in (self.pieces, self.words):
+            if len(kept) >= CACHE:
+                kept.clear()
         return np.frombuffer(b"".join(map(self.pieces.__getitem__, text.split())), self.kind)
 
     def decode(self, ids: list[int]) -> str:
@@ -223,13 +223,27 @@ class Encoder(Splitter):
         return out[::-1]
 
 
+class _Words(dict):
+    """The packed ids of pre-split words."""
+
+    def __init__(self, encoder: Splitter):
+        super().__init__()
+        self.ids, self.code = encoder.word_ids, "H" if encoder.kind is np.uint16 else "I"
+
+    def __missing__(self, word: bytes) -> bytes:
+        got = self[word] = array(self.code, self.ids(word)).tobytes()
+        return got
+
+
 class _Pieces(dict):
+    """The packed ids of text between white space."""
+
     def __init__(self, encoder: Splitter):
         super().__init__()
-        self.encoder = encoder
+        self.of = encoder.piece
 
     def __missing__(self, piece: bytes) -> bytes:
-        got = self[piece] = self.encoder.piece(piece)
+        got = self[piece] = self.of(piece)
         return got
 
 
