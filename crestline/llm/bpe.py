@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame
 from crestline.llm.common import arrow_limits, binary_text, narrow
 
 #: Pieces (and, apart from them, words) whose ids a worker keeps.
-CACHE = 600_000
+CACHE = 300_000
 #: Pairs of state and token whose answer a worker keeps.
-PAIRS = 2_000_000
+PAIRS = 500_000
 
 
 def default_path() -> str:
@@ -103,6 +103,7 @@ class Splitter:
     """A tokenizer file's pre-splitting and caches; word_ids() is for the encoders below."""
 
     kind = np.uint16
+    keep = CACHE
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -157,7 +158,7 @@ class Splitter:
     def encode(self, text: bytes) -> np.ndarray:
         """The ids of a whole text in UTF-8."""
         for kept in (self.pieces, self.words):
-            if len(kept) >= CACHE:
+            if len(kept) >= self.keep:
                 kept.clear()
         return np.frombuffer(b"".join(map(self.pieces.__getitem__, text.split())), self.kind)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from crestline.session import ship
 
 #: Bounds of one Arrow batch, so that a task's Python memory doesn't follow the number of rows.
-BATCH_ROWS, BATCH_BYTES = 4000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

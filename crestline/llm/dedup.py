@@ -44,7 +44,7 @@ SLACK = 0.17
 ROUNDS, SALT = 2, 1000
 #: Bits of the filter that tells which sets a round needs; false hits are joined away.
 FILTER_BITS = 1 << 24
-WORDS = 300_000
+WORDS = 200_000
 
 _U = np.uint64
 _BITS = _U(57)

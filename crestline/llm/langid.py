@@ -25,7 +25,7 @@ from crestline.llm.common import arrow_limits, binary_text, narrow, remainder
 #: Labelled documents, and segments of each, that training sees; all of them fit the driver: under 3 MB.
 SAMPLE_DOCS, SAMPLE_SEGMENTS = 4000, 6
 #: Bytes of a segment, units of either pass, segments that run in step.
-SEGMENT, UNITS, LANES = 64, 8, 4096
+SEGMENT, UNITS, LANES = 64, 8, 2048
 #: Training: steps, segments of a step, step size.
 STEPS, BATCH, RATE = 450, 256, 0.02
 UNKNOWN = "und"

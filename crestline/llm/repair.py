@@ -50,6 +50,8 @@ SCHEMA = "part long, shard long, doc_ids binary, doc_lengths binary, n_ids long,
 class LibraryEncoder(Splitter):
     """Encodes with the tokenizers library, each different pre-split word once while it is kept."""
 
+    keep = 600_000
+
     def __init__(self, path: str):
         super().__init__(path)
         self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)

@@ -31,7 +31,7 @@ ROWS, SIZE, WIDTHS, FILTERS, TOP = 1 << 17, 8, (1, 2, 3), 6, 3
 EPOCHS, BATCH, RATE = 6, 48, 0.15
 LIMIT = 0.3
 #: Words whose projections a worker keeps.
-WORDS = 200_000
+WORDS = 100_000
 
 _SPACE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
 _TABLES = [(k, j) for k, width in enumerate(WIDTHS) for j in range(width)]
