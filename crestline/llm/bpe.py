@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-from crestline.llm.common import arrow_limits, binary_text, narrow
+from crestline.llm.common import arrow_limits, binary_text, narrow, tidied
 
 #: Pieces (and, apart from them, words) whose ids a worker keeps.
 CACHE = 300_000
@@ -162,6 +162,10 @@ class Splitter:
                 kept.clear()
         return np.frombuffer(b"".join(map(self.pieces.__getitem__, text.split())), self.kind)
 
+    def forget(self) -> None:
+        self.pieces.clear()
+        self.words.clear()
+
     def decode(self, ids: list[int]) -> str:
         """The labels of the ids, joined by a space."""
         return " ".join(map(self.labels.__getitem__, ids))
@@ -179,6 +183,10 @@ class Encoder(Splitter):
         self.automaton = MergeAutomaton(len(self.labels), [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
         self._table(vocab, {a + b for a, b in merges})
 
+    def forget(self) -> None:
+        super().forget()
+        self.automaton.known.clear()
+
     def _table(self, vocab: dict[str, int], merged: set[str]) -> None:
         """Transitions over bytes: node << 8 | byte -> node; inner[node] and final[node] are the token that ends there, within or at a word's end."""
         code = self.bytes_of
@@ -273,7 +281,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *ids]))], names=["doc_id", "ids"])
 
-    return narrow(docs, {"doc_id": "long", "text": "string"}).mapInArrow(run, "doc_id long, ids array<int>")
+    return narrow(docs, {"doc_id": "long", "text": "string"}).mapInArrow(tidied(run, lambda: encoder(path)), "doc_id long, ids array<int>")
 
 
 def decode(ids: DataFrame, path: str | None = None) -> DataFrame:
@@ -286,7 +294,7 @@ def decode(ids: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([coder.decode(x or []) for x in batch.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return narrow(ids, {"doc_id": "long", "ids": "array<int>"}).mapInArrow(run, "doc_id long, text string")
+    return narrow(ids, {"doc_id": "long", "ids": "array<int>"}).mapInArrow(tidied(run, lambda: encoder(path)), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -305,7 +313,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 text_sha.append(hashlib.sha256(coder.decode(ids.tolist()).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return narrow(docs, {"doc_id": "long", "text": "string"}).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return narrow(docs, {"doc_id": "long", "text": "string"}).mapInArrow(tidied(run, lambda: encoder(path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_checked(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -322,4 +330,4 @@ def encode_checked(docs: DataFrame, path: str | None = None) -> DataFrame:
             flat = np.concatenate([np.zeros(0, np.int32), *(x.astype(np.int32) for x in ids)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, flat), pa.array(np.diff(ends), pa.int64()), pa.array(chars, pa.int64())], names=["doc_id", "ids", "n_tokens", "decoded_chars"])
 
-    return narrow(docs, {"doc_id": "long", "text": "string"}).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded_chars long")
+    return narrow(docs, {"doc_id": "long", "text": "string"}).mapInArrow(tidied(run, lambda: encoder(path)), "doc_id long, ids array<int>, n_tokens long, decoded_chars long")

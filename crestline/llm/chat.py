@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crestline.llm.bpe import byte_symbols
-from crestline.llm.common import arrow_limits, narrow
+from crestline.llm.common import arrow_limits, narrow, tidied
 
 #: Reserved ids follow the vocabulary in this order; what they are rendered as.
 START, TURN, BODY, END = range(4)
@@ -140,7 +140,7 @@ def format_turns(conversations: DataFrame, path: str | None = None) -> DataFrame
                 names=["conv_id", "block", "k", "n_ids", "ids", "mask"],
             )
 
-    made = rows.select("conv_id", "block", "k", "role", "text").mapInArrow(run, "conv_id long, block long, k long, n_ids long, ids array<int>, mask array<tinyint>")
+    made = rows.select("conv_id", "block", "k", "role", "text").mapInArrow(tidied(run), "conv_id long, block long, k long, n_ids long, ids array<int>, mask array<tinyint>")
     sums = made.groupBy("conv_id", "block").agg(F.sum("n_ids").alias("n"))
     sums = sums.select(F.col("conv_id").alias("cid"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("conv_id", "block").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
@@ -179,7 +179,7 @@ def digest(formatted: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_pylist([_row(at, held)], schema=_DIGEST)
 
     dealt = formatted.select("conv_id", "k", "ids", "mask").repartition("conv_id").sortWithinPartitions("conv_id", "k")
-    return dealt.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return dealt.mapInArrow(tidied(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 _DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -60,6 +61,33 @@ def remainder(column: str | Column, n: int) -> Column:
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % F.lit(n)
 
 
+def tidied(run, *kept):
+    """run for mapInArrow, after which the task's worker forgets what it kept and gives unused memory back.
+
+    Workers are reused: what one stage leaves in them would add to the next one's memory.
+    """
+
+    def task(batches):
+        yield from run(batches)
+        for make in kept:
+            make().forget()
+        give_back()
+
+    return task
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries don't have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def binary_text(batch, name: str = "text") -> list[bytes]:
     """The UTF-8 bytes of a batch's strings; null is empty."""
     import pyarrow as pa

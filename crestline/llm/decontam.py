@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm.common import arrow_limits, binary_text, narrow, written
+from crestline.llm.common import arrow_limits, binary_text, narrow, tidied, written
 
 #: Words of a window.
 WINDOW = 10
@@ -226,7 +226,7 @@ def _scanner(part):
                 names=["doc_id", "text", "n_words", "spans", "items"],
             )
 
-    return run
+    return tidied(run)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -286,4 +286,4 @@ def _remover(part, column: str, max_coverage: float):
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return tidied(run)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from crestline.llm.common import arrow_limits, binary_text, narrow, written
+from crestline.llm.common import arrow_limits, binary_text, narrow, tidied, written
 
 SHINGLE, SIMILARITY = 5, 80
 REGISTERS, MANTISSA, BANDS = 128, 10, 24
@@ -160,7 +160,7 @@ def _sets(bits):
                         sets.append((s >> _U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sets, pa.binary())], names=["fp1", "fp2", "shingles"])
 
-    return run
+    return tidied(run)
 
 
 def _wide(packed: bytes) -> np.ndarray:
@@ -190,7 +190,7 @@ def _confirmed(similarity: int):
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return run
+    return tidied(run)
 
 
 def _estimated(limit: float):
@@ -201,7 +201,7 @@ def _estimated(limit: float):
                 batch = batch.filter(pa.array(estimate(a, b) >= limit))
             yield batch.select(["a", "b"])
 
-    return run
+    return tidied(run)
 
 
 class _Classes:
@@ -211,7 +211,7 @@ class _Classes:
         self.docs, self.similarity = narrow(docs, {"doc_id": "long", "text": "string"}), similarity
         self.spark = docs.sparkSession
         arrow_limits(self.spark)
-        self.base = written(self.docs.mapInArrow(_described, "doc_id long, n_shingles long, fp1 long, fp2 long, sig array<long>"), "dedup-base")
+        self.base = written(self.docs.mapInArrow(tidied(_described), "doc_id long, n_shingles long, fp1 long, fp2 long, sig array<long>"), "dedup-base")
         classes = self.base.where("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
         self.classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "dedup-classes")
 
@@ -338,7 +338,7 @@ def _rare(held: _Classes, rows: DataFrame) -> DataFrame:
     t = held.similarity
     size = rows.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
     open_ = rows.join(size.select("band", "key"), ["band", "key"]).select("node", "label").distinct()
-    tokens = open_.join(held.sets, "node").select("node", "n", "label", "shingles").mapInArrow(_tokens, "token long, node long, n long, label long")
+    tokens = open_.join(held.sets, "node").select("node", "n", "label", "shingles").mapInArrow(tidied(_tokens), "token long, node long, n long, label long")
     tokens = written(tokens, "dedup-tokens")
     often = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("c > 1").select("token", "c", (F.col("lo") != F.col("hi")).alias("open"))
     turn = Window.partitionBy("node").orderBy("c", "token")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm.common import arrow_limits, binary_text, narrow, remainder
+from crestline.llm.common import arrow_limits, binary_text, narrow, remainder, tidied
 
 #: Labelled documents, and segments of each, that training sees; all of them fit the driver: under 3 MB.
 SAMPLE_DOCS, SAMPLE_SEGMENTS = 4000, 6
@@ -215,7 +215,7 @@ def fit(docs: DataFrame, learn=None) -> Model | None:
     n = held.count()
     share = min(1.0, SAMPLE_DOCS / max(1, n))
     some = held.withColumn("turn", turn).where(F.pmod("turn", F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = some.mapInArrow(_sampler, "lang string, segment binary, turn long").orderBy("turn", "segment").limit(SAMPLE_DOCS * SAMPLE_SEGMENTS).collect()
+    rows = some.mapInArrow(tidied(_sampler), "lang string, segment binary, turn long").orderBy("turn", "segment").limit(SAMPLE_DOCS * SAMPLE_SEGMENTS).collect()
     if not rows:
         return None
     return train([bytes(r.segment) for r in rows], [r.lang for r in rows])
@@ -240,7 +240,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             langs, score = _judged(sent.value, binary_text(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return narrow(docs, {"doc_id": "long", "text": "string"}).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return narrow(docs, {"doc_id": "long", "text": "string"}).mapInArrow(tidied(run), "doc_id long, lang_pred string, score double")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def report(docs: DataFrame) -> DataFrame:
     return predict(docs, model).select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", F.round("score", 6).alias("score"))
 
 
-#: Least score of a document whose language counts as identified.
+#: Least score of a document whose language counts as identified; documents in several languages have low ones, and stay.
 LEAST = 0.35
 
 
@@ -264,4 +264,4 @@ def filter_language(docs: DataFrame, least: float = LEAST) -> DataFrame:
             langs, score = _judged(sent.value, binary_text(batch, column))
             yield batch.filter(pa.array([x != UNKNOWN and y >= least for x, y in zip(langs, score.tolist())], pa.bool_()))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*names)
+    return plain.mapInArrow(tidied(run), plain.schema).toDF(*names)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from crestline.llm.common import arrow_limits, binary_text, narrow
+from crestline.llm.common import arrow_limits, binary_text, narrow, tidied
 
 SHINGLE, WINDOW, BAND = 3, 2, 8
 #: Least share of a template's words that is reported.
@@ -152,4 +152,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
             columns = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "license", "start_word", "end_word", "matched_words", "coverage"])
 
-    return narrow(docs, {"doc_id": "long", "text": "string"}).mapInArrow(run, "doc_id long, license string, start_word long, end_word long, matched_words long, coverage double")
+    return narrow(docs, {"doc_id": "long", "text": "string"}).mapInArrow(tidied(run), "doc_id long, license string, start_word long, end_word long, matched_words long, coverage double")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crestline.llm.bpe import Splitter, default_path
-from crestline.llm.common import arrow_limits, binary_text, narrow, written
+from crestline.llm.common import arrow_limits, binary_text, narrow, tidied, written
 
 #: The id that closes a document.
 END = 2
@@ -182,7 +182,7 @@ def _writer(path: str, shard_ids: int, end: int):
         if held:
             yield flush()
 
-    return run
+    return tidied(run)
 
 
 _ARROW = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("doc_ids", pa.binary()), ("doc_lengths", pa.binary()), ("n_ids", pa.int64()), ("base", pa.int64()), ("rules", pa.binary()), ("lengths", pa.binary()), ("sequence", pa.binary()), ("symbol_bytes", pa.int32())])
@@ -225,5 +225,5 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def index(shards: DataFrame) -> DataFrame:
     """Per document, read back from the shards: doc_id, start (ids of all documents before), n_tokens and ids_crc32."""
-    found = shards.mapInArrow(_reader, "part long, shard long, doc_id long, begin long, n_tokens long, ids_crc32 long")
+    found = shards.mapInArrow(tidied(_reader), "part long, shard long, doc_id long, begin long, n_tokens long, ids_crc32 long")
     return found.join(starts(shards), ["part", "shard"]).select("doc_id", (F.col("shard_start") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")

@@ -6,8 +6,8 @@ values in the whole text are pooled (max pooling, kept for repeats), and a logis
 length gives a logit. The logit is shifted by a threshold that was calibrated per language, so that 0.3 is every
 language's limit; the language is guessed from the words, by counts of the training texts.
 
-Training sees SAMPLE_DOCS labelled documents, chosen by a hash of the id and together of at most SAMPLE_WORDS words;
-one of CALIBRATE of them calibrates only. Null and empty texts have no words and get the score of no evidence. A
+Training sees SAMPLE_DOCS labelled documents, chosen by a hash of the id, of at most LONGEST words each and SAMPLE_WORDS
+together; one of CALIBRATE of them calibrates only. Null and empty texts have no words and get the score of no evidence. A
 document is scored from its text alone; rows that repeat get the same score. Without labels every score is 0.
 """
 
@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm.common import arrow_limits, binary_text, narrow, remainder
+from crestline.llm.common import arrow_limits, binary_text, narrow, remainder, tidied
 
 #: Bounds of the sample that training sees.
-SAMPLE_DOCS, SAMPLE_WORDS, CALIBRATE = 6000, 4_000_000, 4
+SAMPLE_DOCS, SAMPLE_WORDS, LONGEST, CALIBRATE = 6000, 4_000_000, 40_000, 4
 #: Rows of the embedding, their size, widths of filters, filters of a width, values pooled of each.
 ROWS, SIZE, WIDTHS, FILTERS, TOP = 1 << 17, 8, (1, 2, 3), 6, 3
 EPOCHS, BATCH, RATE = 6, 48, 0.15
@@ -235,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None) -> Model | None:
     some = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(turn).limit(SAMPLE_DOCS)
     # at most SAMPLE_DOCS rows are broadcast
     held = narrow(docs, {"doc_id": "long", "text": "string", "lang": "string"}).join(F.broadcast(some), "doc_id").select("doc_id", "text", "lang", "toxic")
-    sized = held.mapInArrow(_words, "doc_id long, text string, lang string, toxic int, n_words long").where(F.col("n_words") <= SAMPLE_WORDS // 100)
+    sized = held.mapInArrow(tidied(_words), "doc_id long, text string, lang string, toxic int, n_words long").where(F.col("n_words") <= LONGEST)
     texts, toxic, langs, total = [], [], [], 0
     for r in sized.orderBy(turn, "text").limit(SAMPLE_DOCS).toLocalIterator():
         total += r.n_words
@@ -261,7 +261,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             got = scorer.scores(texts) if scorer else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.round(got, 6), pa.float64())], names=["doc_id", "score"])
 
-    return narrow(docs, {"doc_id": "long", "text": "string"}).mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= LIMIT).cast("int"))
+    return narrow(docs, {"doc_id": "long", "text": "string"}).mapInArrow(tidied(run), "doc_id long, score double").withColumn("predicted", (F.col("score") >= LIMIT).cast("int"))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
