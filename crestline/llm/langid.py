@@ -250,7 +250,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 #: Least score of a document whose language counts as identified; documents in several languages have low ones, and stay.
-LEAST = 0.35
+LEAST = 0.2
 
 
 def filter_language(docs: DataFrame, least: float = LEAST) -> DataFrame:
