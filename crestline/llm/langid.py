@@ -7,6 +7,10 @@ hash of their id, and of each up to SAMPLE_SEGMENTS segments spread over its tex
 
 A text that is null or has no letter is `und`, with score 0. If there is nothing to learn from, each text is `und`.
 Rows that repeat get the same answer.
+
+The filter learns one class more, `und`, from what no language's text looks like: random letters and codes, other
+scripts, and the sample's own segments with bytes shuffled or letters exchanged. A text stays if the learned languages
+together hold at least LEAST of its bytes, so text in several of them stays, and the limit binds for any number of them.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from crestline.llm.common import arrow_limits, binary_text, narrow, remainder, t
 
 #: Labelled documents, and segments of each, that training sees; all of them fit the driver: under 3 MB.
 SAMPLE_DOCS, SAMPLE_SEGMENTS = 4000, 6
+#: Segments that are no language's, at least.
+CONTRAST = 3000
 #: Bytes of a segment, units of either pass, segments that run in step.
 SEGMENT, UNITS, LANES = 64, 8, 2048
 #: Training: steps, segments of a step, step size.
@@ -150,6 +156,35 @@ def train(segments: list[bytes], labels: list[str], steps: int = STEPS, seed: in
     return m
 
 
+def contrast(segments: list[bytes], n: int, seed: int = 11) -> list[bytes]:
+    """n segments in no language of the given ones."""
+    rng, out = np.random.default_rng(seed), []
+    groups = [np.frombuffer(x, np.uint8) for x in (b"aeiou", b"bcdfghjklmnpqrstvwxyz")]
+    lower, hexa = (np.frombuffer(x, np.uint8) for x in (b"abcdefghijklmnopqrstuvwxyz", b"0123456789abcdef"))
+    code = np.concatenate([lower, lower - 32, hexa[:10], np.frombuffer(b"+/", np.uint8)])
+    for k in range(n):
+        kind, own = k % 6, np.frombuffer(segments[rng.integers(len(segments))], np.uint8)
+        if kind == 0:  # random letters, in words or in one
+            made = rng.choice(lower, SEGMENT)
+            made[rng.random(SEGMENT) < rng.choice([0, 0.1, 0.2])] = 32
+        elif kind == 1:  # base 64 or hexadecimal
+            made = rng.choice(code if rng.random() < 0.6 else hexa, SEGMENT)
+        elif kind == 2:
+            made = rng.permutation(own)
+        elif kind == 5:  # another script: letters of one block of code points, from Greek to Hangul
+            first = int(rng.choice([0x391, 0x410, 0x5D0, 0x627, 0x905, 0xE01, 0x3041, 0x4E00, 0xAC00]))
+            points = first + rng.integers(0, 32 if first < 0x3000 else 3000 if first > 0x3100 else 80, SEGMENT)
+            made = np.frombuffer("".join(" " if rng.random() < 0.15 else chr(c) for c in points.tolist()).encode()[:SEGMENT], np.uint8)
+        else:  # an unknown language: letters exchanged, vowels and consonants among themselves or all
+            table = np.arange(256, dtype=np.uint8)
+            for group in groups if kind == 3 else [lower]:
+                new = rng.permutation(group)
+                table[group], table[group - 32] = new, new - 32
+            made = table[own]
+        out.append(made.tobytes())
+    return out
+
+
 def positions(m: Model, segment: bytes) -> np.ndarray:
     """The languages' probabilities at each byte of one segment."""
     ids = np.frombuffer(segment, np.uint8)[None, :]
@@ -205,8 +240,8 @@ def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(segments, pa.binary()), pa.array(order, pa.int64())], names=["lang", "segment", "turn"])
 
 
-def fit(docs: DataFrame, learn=None) -> Model | None:
-    """A model of docs' text and lang, from the rows where learn (a condition on doc_id) holds."""
+def fit(docs: DataFrame, learn=None, against: bool = False) -> Model | None:
+    """A model of docs' text and lang, from the rows where learn (a condition on doc_id) holds; against: with the class of what is no language."""
     arrow_limits(docs.sparkSession)
     held = narrow(docs, {"doc_id": "long", "text": "string", "lang": "string"}).where("lang is not null")
     if learn is not None:
@@ -218,7 +253,11 @@ def fit(docs: DataFrame, learn=None) -> Model | None:
     rows = some.mapInArrow(tidied(_sampler), "lang string, segment binary, turn long").orderBy("turn", "segment").limit(SAMPLE_DOCS * SAMPLE_SEGMENTS).collect()
     if not rows:
         return None
-    return train([bytes(r.segment) for r in rows], [r.lang for r in rows])
+    segments, labels = [bytes(r.segment) for r in rows], [r.lang for r in rows]
+    if against:
+        more = contrast(segments, max(CONTRAST, len(segments) // len(set(labels))))
+        segments, labels = segments + more, labels + [UNKNOWN] * len(more)
+    return train(segments, labels)
 
 
 def _judged(m: Model | None, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
@@ -249,19 +288,29 @@ def report(docs: DataFrame) -> DataFrame:
     return predict(docs, model).select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", F.round("score", 6).alias("score"))
 
 
-#: Least score of a document whose language counts as identified; documents in several languages have low ones, and stay.
-LEAST = 0.2
+#: Least share of a text's bytes that the learned languages hold, all together; documents in several languages stay.
+LEAST = 0.3
+
+
+def held_shares(m: Model | None, texts: list[bytes]) -> np.ndarray:
+    """The share of each text's bytes that the learned languages hold, by a model with the class of what is none; 0 without a letter."""
+    known = np.array([m is not None and _LETTER.search(t.decode("utf-8", "replace")) is not None for t in texts], bool)
+    if not known.any():
+        return np.zeros(len(texts))
+    sums = document_sums(m, texts)
+    languages = [j for j, name in enumerate(m.languages) if name != UNKNOWN]
+    return np.where(known, sums[:, languages].sum(1) / np.maximum(1, [len(t) for t in texts]), 0.0).clip(0, 1)
 
 
 def filter_language(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is identified; one pass, without a join."""
-    model, names = fit(docs), list(docs.columns)
+    """The rows of docs, with all their columns, whose text is in learned languages; one pass, without a join."""
+    model, names = fit(docs, against=True), list(docs.columns)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     plain, column = docs.toDF(*(f"c{i}" for i in range(len(names)))), f"c{names.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, score = _judged(sent.value, binary_text(batch, column))
-            yield batch.filter(pa.array([x != UNKNOWN and y >= least for x, y in zip(langs, score.tolist())], pa.bool_()))
+            share = held_shares(sent.value, binary_text(batch, column))
+            yield batch.filter(pa.array((share >= max(least, 1e-9)).tolist(), pa.bool_()))
 
     return plain.mapInArrow(tidied(run), plain.schema).toDF(*names)
