@@ -167,19 +167,18 @@ class ItemAutomaton:
         return spans, found
 
 
-def _parts(benchmark: DataFrame, window: int, most: int) -> Iterator[ItemAutomaton]:
-    """Automata of at most `most` characters each; one part at a time is on the driver."""
-    held, chars, some = [], 0, False
+def _parts(benchmark: DataFrame, window: int, most: int) -> Iterator[tuple[ItemAutomaton, bool]]:
+    """Automata of at most `most` characters each, and whether it is the last; one part at a time is on the driver."""
+    held, chars = [], 0
     for item_id, text in narrow(benchmark, {"item_id": "string", "text": "string"}).toLocalIterator():
         words = words_of((text or "").encode("utf-8", "surrogatepass"))
         size = sum(map(len, words))
         if held and chars + size > most:
-            yield ItemAutomaton(held, window)
-            held, chars, some = [], 0, True
+            yield ItemAutomaton(held, window), False
+            held, chars = [], 0
         held.append((item_id, words))
         chars += size
-    if held or not some:
-        yield ItemAutomaton(held, window)
+    yield ItemAutomaton(held, window), True
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -200,7 +199,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_char
     spark = docs.sparkSession
     arrow_limits(spark)
     held = narrow(docs, {"doc_id": "long", "text": "string"}).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.expr("cast(array() as array<struct<start:int,end:int>>)"), "items": F.expr("cast(array() as array<string>)")})
-    for k, part in enumerate(_parts(benchmark, window, shard_chars)):
+    for k, (part, _) in enumerate(_parts(benchmark, window, shard_chars)):
         if k:
             held = written(held, "decontam")
         held = held.mapInArrow(_scanner(spark.sparkContext.broadcast(part)), f"doc_id long, text string, {_FOUND}")
@@ -245,40 +244,47 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_ch
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """docs, with all their columns, less the spans of hit words; documents with a larger share of hit words than max_coverage go.
 
+    The hits of all parts of the benchmark are found in the uncut text; coverage is judged and text cut once, at the end.
     A removed span reaches from its first word's first byte to its last word's last one. n_chars, if there, is
     counted anew. Clean documents stay as they are.
     """
     arrow_limits(docs.sparkSession)
     names = list(docs.columns)
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    at, schema, held = names.index("text"), plain.schema, plain
-    for k, part in enumerate(_parts(benchmark, window, shard_chars)):
+    at, schema, spans = names.index("text"), plain.schema, f"c{len(names)}"
+    held = plain.withColumn(spans, F.expr("cast(array() as array<struct<start:int,end:int>>)"))
+    marked = held.schema
+    for k, (part, last) in enumerate(_parts(benchmark, window, shard_chars)):
         if k:
             held = written(held, "decontam")
-        held = held.mapInArrow(_remover(docs.sparkSession.sparkContext.broadcast(part), f"c{at}", max_coverage), schema)
+        held = held.mapInArrow(_remover(docs.sparkSession.sparkContext.broadcast(part), f"c{at}", spans, last, max_coverage), schema if last else marked)
     out = held.toDF(*names)
     if "n_chars" in names:
         out = out.toDF(*(f"c{i}" for i in range(len(names)))).withColumn(f"c{names.index('n_chars')}", F.length(f"c{at}").cast(schema[names.index("n_chars")].dataType)).toDF(*names)
     return out
 
 
-def _remover(part, column: str, max_coverage: float):
+def _remover(part, column: str, marks: str, last: bool, max_coverage: float):
+    """Adds the part's hits to the marks; at the last part, drops and cuts by all of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto, bits = part.value, part.value.bitmap()
         for batch in batches:
-            at = batch.schema.get_field_index(column)
-            keep, changed = [], {}
-            for i, text in enumerate(binary_text(batch, column)):
+            at, there = batch.schema.get_field_index(column), batch.schema.get_field_index(marks)
+            keep, changed, held = [], {}, []
+            for i, (text, before) in enumerate(zip(binary_text(batch, column), batch.column(there).to_pylist())):
                 words = words_of(text)
-                spans = _merge(auto.scan(words, bits)[0])
+                spans = _merge(auto.scan(words, bits)[0] + [(s["start"], s["end"]) for s in before])
+                if not last:
+                    held.append([{"start": a, "end": b} for a, b in spans])
+                    continue
                 keep.append(not spans or sum(b - a for a, b in spans) <= max_coverage * len(words))
                 if spans and keep[-1]:
-                    ends = [m.span() for m in _WORD.finditer(text.translate(_SPACE))]
-                    pieces, last = [], 0
-                    for a, b in spans:
-                        pieces.append(text[last : ends[a][0]])
-                        last = ends[b - 1][1]
-                    changed[i] = b"".join([*pieces, text[last:]]).decode("utf-8", "replace")
+                    changed[i] = _cut(text, spans)
+            if not last:
+                yield batch.set_column(there, batch.schema.field(there), pa.array(held, batch.schema.field(there).type))
+                continue
+            batch = batch.remove_column(there)
             if changed:
                 texts = batch.column(at).to_pylist()
                 for i, text in changed.items():
@@ -287,3 +293,12 @@ def _remover(part, column: str, max_coverage: float):
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return tidied(run)
+
+
+def _cut(text: bytes, spans: list[tuple[int, int]]) -> str:
+    ends = [m.span() for m in _WORD.finditer(text.translate(_SPACE))]
+    pieces, last = [], 0
+    for a, b in spans:
+        pieces.append(text[last : ends[a][0]])
+        last = ends[b - 1][1]
+    return b"".join([*pieces, text[last:]]).decode("utf-8", "replace")

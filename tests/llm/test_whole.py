@@ -4,7 +4,7 @@ import base64
 import random
 import string
 
-from crestline.llm import langid
+from crestline.llm import decontam, langid
 
 
 def test_language_filter_rejects_what_is_no_language(spark, sf):
@@ -20,3 +20,20 @@ def test_language_filter_rejects_what_is_no_language(spark, sf):
     got = {r.doc_id for r in langid.filter_language(docs.union(spark.createDataFrame(rows, docs.schema))).collect()}
     assert not {i for i in got if 100_000 <= i < 200_000} and 200_000 in got
     assert len(got) > docs.count() * 0.95
+
+
+def test_passages_are_cut_alike_by_parts_of_the_benchmark(spark):
+    w = [f"w{k}" for k in range(60)]
+    items = [w[0:12], w[6:20], w[30:42], w[44:56], [*w[24:29], *w[42:44], *w[56:60]]]
+    docs = [
+        [*(f"a{k}" for k in range(30)), *w[0:20], *(f"b{k}" for k in range(30))],  # the items overlap
+        [*w[30:42], *(f"c{k}" for k in range(10)), *w[44:56]],  # each covers 35 %
+        [*w[24:29], *w[30:42], *w[42:44], *w[56:60], *(f"d{k}" for k in range(30))],  # neighbours only after a cut
+        ["clean", "text"],
+    ]
+    d = spark.createDataFrame([(k, " ".join(x), 0) for k, x in enumerate(docs)] + [(9, None, 0)], "doc_id long, text string, n_chars long")
+    b = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string").coalesce(1)
+    whole, parts = ({r.doc_id: tuple(r) for r in decontam.decontaminate(d, b, shard_chars=n).collect()} for n in (1_000_000, 1))
+    assert whole == parts and set(whole) == {0, 2, 3, 9}
+    assert parts[0][1].split() == docs[0][:30] + docs[0][50:]
+    assert parts[2][1].split() == docs[2][:5] + docs[2][17:]
