@@ -10,7 +10,8 @@ two registers agree with the sets' similarity J as their probability, for small
 collisions of about 2 ** -MANTISSA, which the estimate takes off.
 
 *Bands.* BANDS keys of four registers each. Two sets at J = 0.8 share no key once in 300,000 pairs, at 0.85 once in
-50 million. Sets of five shingles or fewer link with equal sets only, and have no keys.
+50 million. Sets so small that one shingle more already falls below the similarity link with equal sets only, and have
+no keys: at 0.8 those of up to three shingles, at 0.85 of up to five.
 
 *Links.* In each bucket of a band the classes are compared with one centre, not with each other: each class keeps its
 best centre (most shared bands; the first centres are those that share buckets with most classes), pairs pass on their estimate, and the rest are confirmed on the full sets. Components
@@ -124,19 +125,23 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.equal(a, b).mean(axis=1) - gamma) / (1 - gamma)
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = _Words()
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            n, one, two, sigs = [], [], [], []
-            for text in binary_text(batch):
-                s = shingles(text, words)
-                a, b = fingerprint(s) if len(s) else (0, 0)
-                n.append(len(s))
-                one.append(a)
-                two.append(b)
-                sigs.append(registers(s).view(np.int64) if len(s) > SHINGLE else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "fp1", "fp2", "sig"])
+def _described(similarity: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                n, one, two, sigs = [], [], [], []
+                for text in binary_text(batch):
+                    s = shingles(text, words)
+                    a, b = fingerprint(s) if len(s) else (0, 0)
+                    n.append(len(s))
+                    one.append(a)
+                    two.append(b)
+                    # a set and one with a shingle more are the closest that aren't equal
+                    sigs.append(registers(s).view(np.int64) if len(s) and 100 * len(s) >= similarity * (len(s) + 1) else None)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "fp1", "fp2", "sig"])
+
+    return tidied(run)
 
 
 def _sets(bits):
@@ -211,7 +216,7 @@ class _Classes:
         self.docs, self.similarity = narrow(docs, {"doc_id": "long", "text": "string"}), similarity
         self.spark = docs.sparkSession
         arrow_limits(self.spark)
-        self.base = written(self.docs.mapInArrow(tidied(_described), "doc_id long, n_shingles long, fp1 long, fp2 long, sig array<long>"), "dedup-base")
+        self.base = written(self.docs.mapInArrow(_described(similarity), "doc_id long, n_shingles long, fp1 long, fp2 long, sig array<long>"), "dedup-base")
         classes = self.base.where("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
         self.classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "dedup-classes")
 

@@ -4,7 +4,10 @@ import base64
 import random
 import string
 
-from crestline.llm import decontam, langid
+import pytest
+
+from crestline.llm import decontam, dedup, langid
+from tests.llm.test_brute import components, shingle_set
 
 
 def test_language_filter_rejects_what_is_no_language(spark, sf):
@@ -37,3 +40,14 @@ def test_passages_are_cut_alike_by_parts_of_the_benchmark(spark):
     assert whole == parts and set(whole) == {0, 2, 3, 9}
     assert parts[0][1].split() == docs[0][:30] + docs[0][50:]
     assert parts[2][1].split() == docs[2][:5] + docs[2][17:]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_short_near_copies(spark, percent):
+    pairs = [(f"p{n}x{j}", n) for n in range(1, 13) for j in range(4)]
+    rows = [" ".join(f"{p}w{k}" for k in range(m)) for p, n in pairs for m in (n, n + 1)]
+    sets = {i: shingle_set(t) for i, t in enumerate(rows)}
+    got = dedup.components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), percent).collect()
+    expected = components(sets, percent)
+    assert {r.doc_id: r.component_id for r in got} == expected
+    assert percent != 80 or all(expected[i] != i for i, t in enumerate(rows) if len(t.split()) in (9, 10) and i % 2)
