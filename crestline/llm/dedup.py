@@ -9,8 +9,8 @@ filled in further rounds with other hashes of the same shingles, the earliest ro
 two registers agree with the sets' similarity J as their probability, for small sets too, but for accidental
 collisions of about 2 ** -MANTISSA, which the estimate takes off.
 
-*Bands.* BANDS keys of four registers each. Two sets at J = 0.8 share no key once in 300,000 pairs, at 0.85 once in
-50 million. Sets so small that one shingle more already falls below the similarity link with equal sets only, and have
+*Bands.* BANDS keys of four registers each, all there are. Two sets at J share no key with probability
+(1 - J ** 4) ** BANDS: at 0.8 once in 21 million pairs, at 0.85 once in 18 billion. Sets so small that one shingle more already falls below the similarity link with equal sets only, and have
 no keys: at 0.8 those of up to three shingles, at 0.85 of up to five.
 
 *Links.* In each bucket of a band the classes are compared with one centre, not with each other: each class keeps its
@@ -38,7 +38,9 @@ from pyspark.sql.window import Window
 from crestline.llm.common import arrow_limits, binary_text, narrow, tidied, written
 
 SHINGLE, SIMILARITY = 5, 80
-REGISTERS, MANTISSA, BANDS = 128, 10, 24
+REGISTERS, MANTISSA = 128, 10
+#: Keys of four 16-bit registers.
+BANDS = REGISTERS // 4
 #: How far, in standard deviations of about 0.035, an estimate may fall short of the limit before a pair is given up.
 SLACK = 0.17
 #: Rounds of centres; members of a centre that one task gets.

@@ -51,3 +51,7 @@ def test_short_near_copies(spark, percent):
     expected = components(sets, percent)
     assert {r.doc_id: r.component_id for r in got} == expected
     assert percent != 80 or all(expected[i] != i for i, t in enumerate(rows) if len(t.split()) in (9, 10) and i % 2)
+
+
+def test_all_registers_are_in_bands():
+    assert 4 * dedup.BANDS == dedup.REGISTERS and (1 - 0.8**4) ** dedup.BANDS < 1 / 20_000_000
