@@ -3,7 +3,7 @@
 A text is read in segments of SEGMENT bytes, from its first to its last one. Two recurrent passes, one from either
 end of a segment, meet in a softmax over languages at every byte; a document's probabilities are the mean over all its
 bytes. Training is back-propagation through time over a bounded sample: SAMPLE_DOCS labelled documents, chosen by a
-hash of their id, and of each up to SAMPLE_SEGMENTS segments spread over its text.
+hash of their id, and of each up to SAMPLE_SEGMENTS segments spread over its text; a shorter text is one segment.
 
 A text that is null or has no letter is `und`, with score 0. If there is nothing to learn from, each text is `und`.
 Rows that repeat get the same answer.
@@ -106,14 +106,22 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return logits
 
 
-def _gradients(m: Model, ids: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
-    """Of the mean cross-entropy at all positions, by back-propagation through time."""
-    rows, n = _both(ids), UNITS
-    states, kept = _forward(m, rows, None, keep=True)
+def _masked(there: np.ndarray | None) -> np.ndarray | None:
+    """The mask of both passes; there (lanes, time): where there is a byte."""
+    return None if there is None else np.stack([there.T, there.T[::-1]], 1).astype(np.float32)
+
+
+def _gradients(m: Model, ids: np.ndarray, label: np.ndarray, there: np.ndarray | None = None) -> list[np.ndarray]:
+    """Of the mean cross-entropy at all positions where there is a byte, by back-propagation through time."""
+    rows, n, mask = _both(ids), UNITS, _masked(there)
+    states, kept = _forward(m, rows, mask, keep=True)
     top = _pooled_states(states)
     p = _softmax(top @ m.out + m.bias)
     p[:, np.arange(len(label)), label] -= 1
-    p /= p.shape[0] * p.shape[1]
+    if there is None:
+        p /= p.shape[0] * p.shape[1]
+    else:
+        p *= (there.T / there.sum())[..., None].astype(np.float32)
     d_out = top.reshape(-1, 2 * n).T @ p.reshape(-1, p.shape[-1])
     d_top = p @ m.out.T
     d_states = np.stack([d_top[..., :n], d_top[::-1, :, n:]], 1)
@@ -124,6 +132,8 @@ def _gradients(m: Model, ids: np.ndarray, label: np.ndarray) -> list[np.ndarray]
     for t in range(rows.shape[0] - 1, -1, -1):
         h, z, r, rh, c = kept[t]
         dh = dh + d_states[t]
+        if mask is not None:
+            dh *= mask[t][..., None]
         dc = dh * z * (1 - c * c)
         d_rh = dc @ cand.transpose(0, 2, 1)
         da = np.concatenate([dh * (c - h) * z * (1 - z), d_rh * h * r * (1 - r)], -1)
@@ -136,20 +146,22 @@ def _gradients(m: Model, ids: np.ndarray, label: np.ndarray) -> list[np.ndarray]
 
 
 def train(segments: list[bytes], labels: list[str], steps: int = STEPS, seed: int = 7) -> Model:
-    """Fits the network to whole segments; each step draws as many of each language."""
+    """Fits the network to segments of up to SEGMENT bytes; each step draws as many of each language."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
     k = len(languages)
     normal = lambda scale, *shape: (rng.standard_normal(shape) * scale).astype(np.float32)
     m = Model(languages, normal(0.3, 2, 256, 3 * UNITS), normal(0.3, 2, UNITS, 3 * UNITS), normal(0.3, 2 * UNITS, k), np.zeros(k, np.float32))
-    ids = np.stack([np.frombuffer(s, np.uint8) for s in segments])
+    ids = np.frombuffer(b"".join(s.ljust(SEGMENT, b"\0") for s in segments), np.uint8).reshape(-1, SEGMENT)
+    size = np.array([len(s) for s in segments])
     of = [np.flatnonzero(np.array(labels) == name) for name in languages]
     first, second = [np.zeros_like(p) for p in m.parts()], [np.zeros_like(p) for p in m.parts()]
     for step in range(1, steps + 1):
         label = rng.integers(0, k, BATCH)
         some = np.array([of[j][rng.integers(len(of[j]))] for j in label])
+        there = np.arange(SEGMENT) < size[some, None]
         rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
-        for p, d, a, b in zip(m.parts(), _gradients(m, ids[some], label), first, second):
+        for p, d, a, b in zip(m.parts(), _gradients(m, ids[some], label, None if there.all() else there), first, second):
             a += 0.1 * (d - a)
             b += 0.01 * (d * d - b)
             p -= (rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
@@ -164,6 +176,7 @@ def contrast(segments: list[bytes], n: int, seed: int = 11) -> list[bytes]:
     code = np.concatenate([lower, lower - 32, hexa[:10], np.frombuffer(b"+/", np.uint8)])
     for k in range(n):
         kind, own = k % 6, np.frombuffer(segments[rng.integers(len(segments))], np.uint8)
+        size = len(own)  # as long as the languages' segments, so that length tells nothing
         if kind == 0:  # random letters, in words or in one
             made = rng.choice(lower, SEGMENT)
             made[rng.random(SEGMENT) < rng.choice([0, 0.1, 0.2])] = 32
@@ -181,7 +194,7 @@ def contrast(segments: list[bytes], n: int, seed: int = 11) -> list[bytes]:
                 new = rng.permutation(group)
                 table[group], table[group - 32] = new, new - 32
             made = table[own]
-        out.append(made.tobytes())
+        out.append(made.tobytes()[:size])
     return out
 
 
@@ -217,21 +230,20 @@ def document_sums(m: Model, texts: list[bytes]) -> np.ndarray:
 
 
 def _add(m: Model, sums: np.ndarray, owner: np.ndarray, ids: np.ndarray, there: np.ndarray | None) -> None:
-    mask = None if there is None else np.stack([there.T, there.T[::-1]], 1).astype(np.float32)
-    p = _softmax(_pooled_states(_forward(m, _both(ids), mask)[0]) @ m.out + m.bias)
+    p = _softmax(_pooled_states(_forward(m, _both(ids), _masked(there))[0]) @ m.out + m.bias)
     if there is not None:
         p *= there.T[..., None]
     np.add.at(sums, owner, p.sum(0))
 
 
 def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments at places that an id's hash picks, over the whole text."""
+    """Segments at places that an id's hash picks, over the whole text; a text shorter than a segment as it is."""
     for batch in batches:
         langs, segments, order = [], [], []
         for lang, turn, text in zip(batch.column("lang").to_pylist(), batch.column("turn").to_pylist(), binary_text(batch)):
-            room = len(text) - SEGMENT
-            if room < 0:
+            if not text:
                 continue
+            room = max(0, len(text) - SEGMENT)
             rng = np.random.default_rng(turn & 0xFFFFFFFF)
             for at in rng.integers(0, room + 1, min(SAMPLE_SEGMENTS, 1 + room // SEGMENT)).tolist():
                 langs.append(lang)

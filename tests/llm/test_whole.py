@@ -4,6 +4,7 @@ import base64
 import random
 import string
 
+import numpy as np
 import pytest
 
 from crestline.llm import decontam, dedup, langid
@@ -55,3 +56,36 @@ def test_short_near_copies(spark, percent):
 
 def test_all_registers_are_in_bands():
     assert 4 * dedup.BANDS == dedup.REGISTERS and (1 - 0.8**4) ** dedup.BANDS < 1 / 20_000_000
+
+
+def test_short_labelled_texts_are_learnt(spark):
+    words = {"en": "the and this with have from they which that were".split(), "fr": "les une dans pour avec sont nous être cette mais".split()}
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choices(words[lang], k=5)), lang) for k, lang in enumerate(["en", "fr"] * 150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert max(len(t.encode()) for _, t, _ in rows) < langid.SEGMENT
+    got = langid.report(docs).where("held_out").collect()
+    assert sum(r.lang_pred == rows[r.doc_id][2] for r in got) >= 0.95 * len(got) > 0
+
+
+def test_backpropagation_with_a_mask():
+    m = langid.train([b"a" * 64, b"b" * 40] * 4, ["x", "y"] * 4, steps=1)
+    for name in ("x", "u", "out", "bias"):
+        setattr(m, name, getattr(m, name).astype(np.float64))
+    ids, label = np.random.default_rng(0).integers(97, 103, (3, 9)).astype(np.uint8), np.array([0, 1, 1])
+    there = np.arange(9) < np.array([[9], [4], [6]])
+
+    def loss():
+        p = langid._softmax(langid._pooled_states(langid._forward(m, langid._both(ids), langid._masked(there))[0]) @ m.out + m.bias)
+        return -(np.log(p[:, np.arange(3), label]) * there.T).sum() / there.sum()
+
+    for p, g in zip(m.parts(), langid._gradients(m, ids, label, there)):
+        for k in np.argsort(-np.abs(g).ravel())[:5]:
+            at = np.unravel_index(k, p.shape)
+            old, h = p[at], 1e-2
+            p[at] = old + h
+            up = loss()
+            p[at] = old - h
+            down = loss()
+            p[at] = old
+            assert (up - down) / (2 * h) == pytest.approx(g[at], rel=0.05, abs=2e-4)
