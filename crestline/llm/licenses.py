@@ -2,7 +2,10 @@
 
 Every SHINGLE successive words of a template give a hash; of each WINDOW successive hashes the smallest is kept (the
 rightmost of equal ones). The kept ones of all templates form an inverted index. A document's words are winnowed the
-same way, so a shared passage of WINDOW + SHINGLE - 1 words meets in the index at least once. Hits of one template at
+same way, so a shared passage of WINDOW + SHINGLE - 1 words meets in the index at least once. Of a template that may
+reach the coverage without such a passage (as short ones do, with a word replaced or left out in their middle) all
+shingles of two words are indexed, or all words where even two may not be left, and nothing is winnowed. Words that a
+document inserts at several places can still part a template into passages that are too short. Hits of one template at
 neighbouring places are chained to a region, and a local alignment of the template against the region, within a band
 of BAND words around the hits' diagonal, gives the matched words: equal words score 2, a substitution, insertion or
 deletion -1. Of overlapping alignments of one template the first of the best coverage is reported.
@@ -13,6 +16,7 @@ match; repeated rows are scanned each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -58,13 +62,13 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(np.arange(len(views)) + window - 1 - views.argmin(1))
 
 
-def hashes(codes: np.ndarray) -> np.ndarray:
-    """Hashes of SHINGLE successive words; codes are hashes of words."""
-    n = len(codes) - SHINGLE + 1
+def hashes(codes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of size successive words; codes are hashes of words."""
+    n = len(codes) - size + 1
     if n < 1:
         return np.zeros(0, np.uint64)
     h = codes[:n].copy()
-    for k in range(1, SHINGLE):
+    for k in range(1, size):
         h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
     return h ^ (h >> np.uint64(29))
 
@@ -93,19 +97,29 @@ def align(a: list, b: list, diagonal: int, band: int = BAND) -> tuple[int, int,
     return best[1:]
 
 
+def passage(words: int, coverage: float) -> int:
+    """Words of the longest passage that is left, at least, of a template at the coverage, by replaced or left out words."""
+    matched = math.ceil(coverage * words)
+    return -(-matched // (words - matched + 1))
+
+
 class Index:
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
         self.names = sorted(templates)
         self.words = [words_of(templates[x].encode()) for x in self.names]
         if sum(map(len, self.words)) > MAX_WORDS:
             raise ValueError(f"templates of more than {MAX_WORDS} words")
         self.codes: dict[bytes, int] = {}
-        self.at: dict[int, list[tuple[int, int]]] = {}
-        for k, words in enumerate(self.words):
-            h = hashes(self.code(words))
-            for place in winnow(h).tolist():
-                self.at.setdefault(int(h[place]), []).append((k, place))
-        self.known = np.array(sorted(self.at), np.uint64)
+        #: By size of shingle; those of SHINGLE words are winnowed.
+        self.at: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        with np.errstate(over="ignore"):
+            for k, words in enumerate(self.words):
+                left = passage(len(words), coverage)
+                size = SHINGLE if left >= WINDOW + SHINGLE - 1 else max(1, min(2, left))
+                h = hashes(self.code(words), size)
+                for place in winnow(h).tolist() if size == SHINGLE else range(len(h)):
+                    self.at.setdefault(size, {}).setdefault(int(h[place]), []).append((k, place))
+        self.known = {size: np.array(sorted(at), np.uint64) for size, at in self.at.items()}
 
     def code(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter((zlib.crc32(w) * 0x1_0001 + len(w) for w in words), np.uint64, len(words))
@@ -113,20 +127,26 @@ class Index:
     def scan(self, text: bytes, coverage: float) -> list[tuple[str, int, int, int, float]]:
         """License, first and last word (exclusive), matched words and coverage of each match."""
         words = words_of(text)
-        with np.errstate(over="ignore"):
-            h = hashes(self.code(words))
-        if not len(h) or not np.isin(h, self.known).any():
-            return []
+        codes = self.code(words)
         hits: dict[int, list[tuple[int, int]]] = {}
-        for place in winnow(h).tolist():
-            for k, there in self.at.get(int(h[place]), ()):
-                hits.setdefault(k, []).append((place - there, place))
+        for size, at in self.at.items():
+            with np.errstate(over="ignore"):
+                h = hashes(codes, size)
+            there = np.isin(h, self.known[size])
+            if not there.any():
+                continue
+            for place in (winnow(h) if size == SHINGLE else np.flatnonzero(there)).tolist():
+                for k, start in at.get(int(h[place]), ()):
+                    hits.setdefault(k, []).append((place - start, place))
         out = []
         for k in sorted(hits):
             template, found = self.words[k], []
             for diagonal in sorted({d for d, _ in hits[k]}):
                 lo = max(0, diagonal - BAND)
-                matched, a, z = align(template, words[lo : diagonal + len(template) + BAND], diagonal - lo)
+                region = words[lo : diagonal + len(template) + BAND]
+                if sum(map(set(region).__contains__, template)) < coverage * len(template):  # so many can't match
+                    continue
+                matched, a, z = align(template, region, diagonal - lo)
                 if matched >= coverage * len(template):
                     found.append((-matched, lo + a, lo + z))
             taken: list[tuple[int, int]] = []
@@ -141,7 +161,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     """doc_id, license, start_word, end_word, matched_words and coverage: a row for each match."""
     spark = docs.sparkSession
     arrow_limits(spark)
-    sent = spark.sparkContext.broadcast(Index(templates or TEMPLATES))
+    sent = spark.sparkContext.broadcast(Index(templates or TEMPLATES, coverage))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value

@@ -7,7 +7,7 @@ import string
 import numpy as np
 import pytest
 
-from crestline.llm import decontam, dedup, langid
+from crestline.llm import decontam, dedup, langid, licenses
 from tests.llm.test_brute import components, shingle_set
 
 
@@ -89,3 +89,14 @@ def test_backpropagation_with_a_mask():
             down = loss()
             p[at] = old
             assert (up - down) / (2 * h) == pytest.approx(g[at], rel=0.05, abs=2e-4)
+
+
+def test_licenses_bear_any_one_changed_word():
+    index = licenses.Index(licenses.TEMPLATES)
+    for name, template in licenses.TEMPLATES.items():
+        words = licenses.words_of(template.encode())
+        for k in range(len(words)):
+            for new in ([b"zzz"], []):
+                text = b" ".join([b"before", b"it", *words[:k], *new, *words[k + 1 :], b"after"])
+                assert name in [x[0] for x in index.scan(text, 0.8)], text
+    assert [x[0] for x in licenses.Index({"one": "Unlicense", "two": "Public domain"}).scan(b"in the public domain by unlicense", 0.8)] == ["one", "two"]
