@@ -7,8 +7,7 @@ key, the interval that holds the fetch time. An entry's intervals never overlap,
 
 A null URL, or one without a host, matches nothing and is kept; so is a capture without a fetch time. Events that
 repeat count once; of an addition and a removal at one time the removal holds. Host names are compared in lower case,
-without port, user or a final dot; domains of more than MAX_LABELS labels are looked up by their last MAX_LABELS ones,
-and as a whole.
+without port, user or a final dot, by all their last labels, up to as many as the longest listed domain has.
 """
 
 from __future__ import annotations
@@ -19,8 +18,6 @@ from pyspark.sql.window import Window
 
 from crestline.llm.common import narrow
 
-MAX_LABELS = 8
-
 
 def host_of(url: Column) -> Column:
     """Lower-case host of a URL; null if there is none."""
@@ -41,12 +38,12 @@ def intervals(entries: DataFrame) -> DataFrame:
 def match(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """capture_id, domain, since: the entries that were active when the capture (capture_id, url, fetched) was made."""
     held = narrow(captures, {"capture_id": "long", "url": "string", "fetched": "timestamp"}).select("capture_id", "fetched", F.split(host_of(F.col("url")), r"\.").alias("labels"))
-    n = F.size("labels")
-    tails = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(MAX_LABELS))), lambda k: F.array_join(F.slice("labels", n - k + 1, k), "."))
-    keys = F.array_distinct(F.concat(tails, F.array(F.array_join("labels", "."))))
-    looked = held.where("labels is not null and fetched is not null").select("capture_id", "fetched", F.explode(keys).alias("domain"))
+    spans, n = intervals(entries), F.size("labels")
+    longest = spans.agg(F.coalesce(F.max(F.size(F.split("domain", r"\."))), F.lit(1)).alias("most"))
+    tails = F.transform(F.sequence(F.lit(1), F.least(n, F.col("most"))), lambda k: F.array_join(F.slice("labels", n - k + 1, k), "."))
+    looked = held.where("labels is not null and fetched is not null").crossJoin(F.broadcast(longest)).select("capture_id", "fetched", F.explode(tails).alias("domain"))
     active = (F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
-    return looked.join(intervals(entries), "domain").where(active).select("capture_id", "domain", "since")
+    return looked.join(spans, "domain").where(active).select("capture_id", "domain", "since")
 
 
 def verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ import string
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from crestline.llm import decontam, dedup, langid, licenses
+from crestline.llm import decontam, dedup, langid, licenses, urls
 from tests.llm.test_brute import components, shingle_set
 
 
@@ -100,3 +101,11 @@ def test_licenses_bear_any_one_changed_word():
                 text = b" ".join([b"before", b"it", *words[:k], *new, *words[k + 1 :], b"after"])
                 assert name in [x[0] for x in index.scan(text, 0.8)], text
     assert [x[0] for x in licenses.Index({"one": "Unlicense", "two": "Public domain"}).scan(b"in the public domain by unlicense", 0.8)] == ["one", "two"]
+
+
+def test_listed_domains_of_many_labels(spark):
+    deep = ".".join(f"l{k}" for k in range(11)) + ".example"
+    hosts = [deep, f"a.{deep}", f"b.a.{deep}", deep.split(".", 1)[1], "x.example"]
+    caps = spark.createDataFrame([(k, f"http://{h}/", "2024-06-01") for k, h in enumerate(hosts)], "capture_id long, url string, fetched string").withColumn("fetched", F.col("fetched").cast("timestamp"))
+    entries = spark.createDataFrame([(deep, "add", "2024-01-01")], "domain string, action string, at string")
+    assert {r.capture_id for r in urls.verdicts(caps, entries).where("not kept").collect()} == {0, 1, 2}
