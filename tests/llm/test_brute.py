@@ -7,13 +7,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from crestline.llm import bpe, chat, decontam, dedup, langid, licenses, queries, repair, toxicity
+from crestline.llm import bpe, chat, decontam, dedup, langid, library, licenses, queries, repair, toxicity
 from tests.conftest import same_rows
 
 
@@ -23,7 +24,7 @@ def documents(spark, sf):
 
 
 @pytest.fixture(scope="module")
-def library():
+def tokenizer():
     return Tokenizer.from_file(bpe.default_path())
 
 
@@ -53,17 +54,17 @@ def test_chat(spark, sf):
         assert tuple(got[conv])[1:] == (len(parts), sha("".join(f"{r}\n{x}\n" for r, x in parts)), len(loss), sha(loss), size)
 
 
-def test_bpe(spark, sf, documents, library):
+def test_bpe(spark, sf, documents, tokenizer):
     got = result(spark, sf, "op2_bpe_encoding")
     for r in documents:
-        ids = library.encode(r.text or "", add_special_tokens=False).ids
-        assert tuple(got[r.doc_id])[1:] == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(library.decode(ids, skip_special_tokens=False)))
+        ids = tokenizer.encode(r.text or "", add_special_tokens=False).ids
+        assert tuple(got[r.doc_id])[1:] == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(tokenizer.decode(ids, skip_special_tokens=False)))
 
 
-def test_token_shards(spark, sf, documents, library):
+def test_token_shards(spark, sf, documents, tokenizer):
     got, at = result(spark, sf, "op10_token_shards"), 0
     for r in documents:
-        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 2]
+        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2]
         assert tuple(got[r.doc_id])[1:] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
 
@@ -76,7 +77,22 @@ ODD = st.lists(st.sampled_from([*"aethinorsé'., \n0Σİ<|>_", "<|endoftext|>",
 def test_encoders_equal_the_library(text):
     ids = bpe.encoder(bpe.default_path()).tokenizer.encode(text, add_special_tokens=False).ids
     assert bpe.encoder(bpe.default_path()).encode(text.encode()).tolist() == ids
-    assert repair.library_encoder(bpe.default_path()).encode(text.encode()).tolist() == ids
+    assert library.library_encoder(bpe.default_path()).encode(text.encode()).tolist() == ids
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.none() | ODD | st.text(max_size=40), max_size=12), st.booleans())
+def test_columns_equal_the_library(texts, small):
+    """Null, empty and odd texts, long words, and a table that is emptied between chunks."""
+    coder, kept = library.library_encoder(bpe.default_path()), (library.CHUNK, library.FULL)
+    try:
+        if small:
+            library.CHUNK, library.FULL = 3, 5
+        ids, bounds = coder.column(pa.array([None, *texts, "antidisestablishmentarianism's x" * 3], pa.string()).slice(1))
+    finally:
+        library.CHUNK, library.FULL = kept
+    for k, text in enumerate([*texts, "antidisestablishmentarianism's x" * 3]):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == coder.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
 @settings(max_examples=100, deadline=None)
@@ -105,17 +121,39 @@ def test_merge_automaton_on_a_small_alphabet(word):
     assert accepted and ways[len(word)] == [tuple(out)]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 5), max_size=600), st.integers(1, 4))
-def test_grammar(ids, rounds):
-    rules, lengths, seq = repair.compress(np.array(ids, np.uint16), 50_000, rounds, 50, 2)
-    assert repair.expand(seq, 50_000, rules).tolist() == ids
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=600), st.integers(2, 5))
+def test_grammar(ids, least):
+    rules, lengths, seq = repair.compress(np.array(ids, np.uint16), 50_000, least)
     row = {"base": 50_000, "rules": rules.astype("<i4").tobytes(), "lengths": lengths.astype("<i4").tobytes(), "sequence": seq.tobytes(), "symbol_bytes": seq.dtype.itemsize, "doc_ids": b"", "doc_lengths": b""}
     shard, rng = repair.Shard(row), random.Random(1)
+    assert shard.ids().tolist() == ids
     for _ in range(20):
         a = rng.randint(0, len(ids))
         b = rng.randint(a, len(ids))
         assert shard.slice(a, b).tolist() == ids[a:b]
+    # nothing frequent is left: of a pair's places, those that don't overlap count
+    count, at = collections.Counter(), {}
+    for k, pair in enumerate(zip(seq.tolist(), seq[1:].tolist())):
+        if at.get(pair) != k - 1:
+            count[pair] += 1
+            at[pair] = k
+    assert all(n < least for n in count.values())
+    # each rule replaced as many, and expands to as many ids as it says
+    used = collections.Counter([*seq.tolist(), *rules.ravel().tolist()])
+    size = {50_000 + k: n for k, n in enumerate(lengths.tolist())}
+    assert all(size[50_000 + k] == size.get(a, 1) + size.get(b, 1) for k, (a, b) in enumerate(rules.tolist()))
+    assert len(rules) == 0 or used[50_000 + len(rules) - 1] >= 1
+
+
+def test_grammar_of_many_symbols():
+    """More symbols than 16 bits tell, runs, and a text that repeats as a whole."""
+    rng = np.random.default_rng(3)
+    piece = rng.integers(0, 65_000, 3000)
+    ids = np.concatenate([*[piece] * 20, np.zeros(1001, np.int64), rng.integers(0, 40, 60_000), *[piece[::-1]] * 9])
+    rules, lengths, seq = repair.compress(ids.astype(np.uint16), 65_000)
+    assert len(rules) > 2000 and lengths.max() > 500 and len(seq) < len(ids) / 2
+    assert (repair.Grammar(65_000, rules, lengths).expand(seq) == ids).all()
 
 
 def test_shards_give_documents(spark, sf, documents):
@@ -344,7 +382,7 @@ def test_benchmark_in_parts(spark, sf):
     assert whole == parts
 
 
-def test_pipeline(spark, sf, documents, library):
+def test_pipeline(spark, sf, documents, tokenizer):
     """Each stage against a plain version on what the stage before it kept."""
     docs, kept = spark.read.parquet(f"{sf}/documents.parquet"), {}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -368,6 +406,6 @@ def test_pipeline(spark, sf, documents, library):
             assert len(words_of(kept[3][i].text)) == g.n_words - g.n_hit and kept[3][i].n_chars == len(kept[3][i].text)
     assert set(kept[4]) == set(kept[3])
     for i, r in kept[4].items():
-        assert list(r.ids) == library.encode(kept[3][i].text, add_special_tokens=False).ids
-        assert r.decoded_chars == len(library.decode(list(r.ids), skip_special_tokens=False))
+        assert list(r.ids) == tokenizer.encode(kept[3][i].text, add_special_tokens=False).ids
+        assert r.decoded_chars == len(tokenizer.decode(list(r.ids), skip_special_tokens=False))
     assert {tuple(r) for r in corpus_pipeline.run(spark, sf).select("doc_id", "n_tokens").collect()} == {(r.doc_id, r.n_tokens) for r in kept[4].values()}
