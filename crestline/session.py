@@ -30,10 +30,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where the cluster names none (tests), a local one is set."""
+    """The folder that driver and executors share, spark.checkpoint.dir.
+
+    A session on one machine that names none gets one of its own; on a cluster that is an error, since executors would
+    write where no one else reads.
+    """
     sc = spark.sparkContext
     held = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not held:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         held = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(held)
     return held
