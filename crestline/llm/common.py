@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import contextlib
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.session import ship
+from crestline.session import shared_dir, ship
 
 #: Bounds of one Arrow batch, so that a task's Python memory doesn't follow the number of rows.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
@@ -37,15 +35,8 @@ def arrow_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where the cluster names none (tests), a local one is set."""
-    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not held:
-        held = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
-        spark.sparkContext.setCheckpointDir(held)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(held)
-    return held
+#: Intermediate tables by application, until removed.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -53,9 +44,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/crestline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_written(spark: SparkSession) -> int:
+    """Removes this application's intermediate tables, once their results are written; how many there were."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
+
+
 def remainder(column: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % F.lit(n)

@@ -19,6 +19,7 @@ from crestline.llm.common import narrow, written
 #: Steps of expectation-maximisation, and where it begins.
 STEPS, PRIOR, ON_GOOD, ON_BAD = 30, 0.9, 0.95, 0.6
 #: Bounds of the fitted share, and of the accuracies on good and on bad documents: a rule is held to be better than chance.
+#: The share's lower bound says which of the two groups is the good one, the larger; a crawl that is mostly bad needs another.
 SHARE, GOOD_BOUNDS, BAD_BOUNDS = (0.5, 0.99), (0.7, 0.999), (0.35, 0.98)
 #: Least posterior of a kept document; words of a window that is looked for again.
 LEAST, WINDOW = 0.5, 8

@@ -184,7 +184,7 @@ def train(texts: list[bytes], labels: list[int], langs: list[str | None], seed:
             m.bias -= RATE * 0.3 * g_b / np.sqrt(bias_sum)
     m.embedding *= np.any(sums[0] > 1.001e-3, axis=1, keepdims=True)  # rows that learnt nothing say nothing
     _languages(m, [texts[i] for i in held], [langs[i] for i in held])
-    _calibrate(m, [t for i, t in enumerate(texts) if i % CALIBRATE == 0], y[::CALIBRATE], np.array([x or "" for x in langs])[::CALIBRATE], [texts[i] for i in held], y[held], np.array([langs[i] or "" for i in held]))
+    _calibrate(m, [t for i, t in enumerate(texts) if i % CALIBRATE == 0], y[::CALIBRATE], np.array([x or "" for x in langs])[::CALIBRATE])
     return m
 
 
@@ -208,7 +208,7 @@ def _best_limit(logit: np.ndarray, y: np.ndarray) -> float:
     return float((logit[order[k]] + after) / 2)
 
 
-def _calibrate(m: Model, texts, y, langs, more, more_y, more_langs) -> None:
+def _calibrate(m: Model, texts, y, langs) -> None:
     """A threshold for each language that the calibration texts have toxic ones of; else that of all."""
     scorer = _Scorer(Model(m.embedding, m.filters, m.shift, m.weights, m.bias))
     logit = scorer.logits(texts)[0]
