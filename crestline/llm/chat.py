@@ -10,8 +10,9 @@ commonly use) inside a role or text are escaped before encoding, so no content r
 reading back: a control string becomes MARK, a letter that stands for it, MARK; and MARK itself MARK, a letter, MARK.
 
 The output has a row for each turn, so no conversation is ever held whole. Turns are ordered by turn, then role, then
-text; rows that repeat are turns of their own. Null roles and texts are empty; rows without conv_id are one
-conversation, of id null. An empty table gives no rows.
+text, null turns first; rows that repeat are turns of their own. Null roles and texts are empty; rows without conv_id
+are one conversation, of id null. An empty table gives no rows. Turns are placed by blocks of BLOCK numbers, so a
+conversation's rows are dealt out by their turn; rows of one conversation that share a turn are sorted together.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crestline.llm.bpe import byte_symbols
-from crestline.llm.common import arrow_limits, narrow, tidied
+from crestline.llm.common import arrow_limits, narrow, tidied, written
 
 #: Reserved ids follow the vocabulary in this order; what they are rendered as.
 START, TURN, BODY, END = range(4)
@@ -42,8 +43,8 @@ _CODES = {s: chr(ord("a") + i) for i, s in enumerate([MARK, *CONTROL, *FOREIGN])
 _STRINGS = {c: s for s, c in _CODES.items()}
 _FIND = re.compile("|".join(re.escape(s) for s in sorted(_CODES, key=len, reverse=True)))
 _ESCAPED = re.compile(f"{MARK}(.){MARK}", re.S)
-#: Turns of one step of the prefix sums.
-BLOCK = 256
+#: Turns of one step of the prefix sums; where null turns go.
+BLOCK, FIRST = 256, -(1 << 62)
 
 
 def escape(text: str) -> str:
@@ -111,7 +112,6 @@ def template(path: str) -> Template:
     return Template(path)
 
 
-
 def format_turns(conversations: DataFrame, path: str | None = None) -> DataFrame:
     """A row for each turn: conv_id, k (0 for the first), start (ids of the conversation before it), ids, mask."""
     path = path or default_path()
@@ -119,7 +119,7 @@ def format_turns(conversations: DataFrame, path: str | None = None) -> DataFrame
     held = narrow(conversations, {"conv_id": "long", "turn": "long", "role": "string", "text": "string"})
     held = held.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     # places in two steps: within blocks of turns, then over the blocks, so that one long conversation is not one sort
-    block = F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK)
+    block = F.floor(F.coalesce("turn", F.lit(FIRST)) / BLOCK)
     rows = held.withColumn("block", block)
     within = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
     rows = rows.withColumn("k", F.row_number().over(within) - 1)
@@ -134,13 +134,19 @@ def format_turns(conversations: DataFrame, path: str | None = None) -> DataFrame
             roles, texts = (t.encode([escape(x) for x in batch.column(c).to_pylist()]) for c in ("role", "text"))
             made = [t.turn(r, x, k == 0) for r, x, k in zip(roles, texts, batch.column("k").to_pylist())]
             loss = [r == "assistant" for r in batch.column("role").to_pylist()]
-            mask = [[0] * a + [int(on)] * (z - a) + [0] * (len(ids) - z) for (ids, a, z), on in zip(made, loss)]
+            ends = np.cumsum([0, *(len(ids) for ids, _, _ in made)]).astype(np.int32)
+            flat, mask = np.empty(ends[-1], np.int32), np.zeros(ends[-1], np.int8)
+            for (ids, a, z), on, at in zip(made, loss, ends.tolist()):
+                flat[at : at + len(ids)] = ids
+                if on:
+                    mask[at + a : at + z] = 1
             yield pa.RecordBatch.from_arrays(
-                [batch.column("conv_id"), batch.column("block"), batch.column("k"), pa.array([len(ids) for ids, _, _ in made], pa.int64()), pa.array([ids.astype(np.int32) for ids, _, _ in made], pa.list_(pa.int32())), pa.array(mask, pa.list_(pa.int8()))],
+                [batch.column("conv_id"), batch.column("block"), batch.column("k"), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(ends, flat), pa.ListArray.from_arrays(ends, mask)],
                 names=["conv_id", "block", "k", "n_ids", "ids", "mask"],
             )
 
-    made = rows.select("conv_id", "block", "k", "role", "text").mapInArrow(tidied(run), "conv_id long, block long, k long, n_ids long, ids array<int>, mask array<tinyint>")
+    # written once, as both the blocks' sums and the result read it
+    made = written(rows.select("conv_id", "block", "k", "role", "text").mapInArrow(tidied(run), "conv_id long, block long, k long, n_ids long, ids array<int>, mask array<tinyint>"), "chat")
     sums = made.groupBy("conv_id", "block").agg(F.sum("n_ids").alias("n"))
     sums = sums.select(F.col("conv_id").alias("cid"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("conv_id", "block").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
