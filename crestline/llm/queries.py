@@ -66,7 +66,7 @@ _URL_SQL = """
 with events as (select domain, bool_and(action = 'add') as active, cast(day as timestamp) as ts from (values {rows}) e(domain, action, day) group by domain, day),
 changes as (select * from (select *, lag(active) over (partition by domain order by ts) as was from events) where active is distinct from was and (active or was is not null)),
 spans as (select domain, active, ts as since, lead(ts) over (partition by domain order by ts) as until from changes),
-caps as (select page_id, nullif(rtrim(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '.'), '') as host,
+caps as (select page_id, nullif(rtrim(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/?#:@]+)', 1), '.'), '') as host,
          timestamp '2023-01-01' + to_minutes(cast((page_id * 7919) % 1051200 as bigint)) as fetched from pages),
 found as (select page_id, count(distinct domain) as n_matches, arg_max(domain, length(domain)) as domain
           from caps join spans on active and (host = domain or ends_with(host, '.' || domain)) and since <= fetched and (until is null or fetched < until)
