@@ -9,18 +9,24 @@ filled in further rounds with other hashes of the same shingles, the earliest ro
 two registers agree with the sets' similarity J as their probability, for small sets too, but for accidental
 collisions of about 2 ** -MANTISSA, which the estimate takes off.
 
-*Bands.* BANDS keys of four registers each, all there are. Two sets at J share no key with probability
-(1 - J ** 4) ** BANDS: at 0.8 once in 21 million pairs, at 0.85 once in 18 billion. Sets so small that one shingle more already falls below the similarity link with equal sets only, and have
-no keys: at 0.8 those of up to three shingles, at 0.85 of up to five.
+*Bands.* All registers, in keys of four each; for similarities at which that misses more, of two or one. Two sets at J
+share no key of r registers with probability (1 - J ** r) ** (REGISTERS / r): at 0.8 once in 21 million pairs, at 0.85
+once in 18 billion. Sets so small that one shingle
+more already falls below the similarity link with equal sets only, and have no keys: at 0.8 those of up to three
+shingles, at 0.85 of up to five.
 
 *Links.* In each bucket of a band the classes are compared with one centre, not with each other: each class keeps its
-best centre (most shared bands; the first centres are those that share buckets with most classes), pairs pass on their estimate, and the rest are confirmed on the full sets. Components
-follow, and the next round takes another centre in the buckets that still hold several components. What classes are
-left in such buckets are compared exactly: shingles in order of rarity, two sets that reach the similarity share one
+best centre (most shared bands; the first centres are those that share buckets with most classes), pairs pass on
+their estimate, and the rest are confirmed on the full sets. Components follow, and the next round takes another
+centre in the buckets that still hold several components. What classes are left in such buckets are compared exactly: shingles in order of rarity, two sets that reach the similarity share one
 of their rarest few, at places that leave enough behind them to reach it. That join's pairs, of different components
 only, are estimated and confirmed in turn. A pair within one component needs no link of its own, so the components are
 those of all links.
 
+*Hot keys.* A bucket, centre or component that holds more than a thousandth of a join's rows would land in one task.
+There are fewer than a thousand such keys, whatever the input, so their side of the join is broadcast and the many rows
+stay where they are; all other keys are shuffled.
+
 Null and empty texts have an empty set, are linked with nothing and stay. Rows of one doc_id stay or go together.
 """
 
@@ -39,12 +45,16 @@ from crestline.llm.common import arrow_limits, binary_text, narrow, tidied, writ
 
 SHINGLE, SIMILARITY = 5, 80
 REGISTERS, MANTISSA = 128, 10
-#: Keys of four 16-bit registers.
-BANDS = REGISTERS // 4
+#: How often a pair at the similarity may share no key.
+MISSED = 1e-7
 #: How far, in standard deviations of about 0.035, an estimate may fall short of the limit before a pair is given up.
 SLACK = 0.17
 #: Rounds of centres; members of a centre that one task gets.
-ROUNDS, SALT = 2, 1000
+ROUNDS, SALT = 2, 250
+#: A key is hot above this share (one in HOT_SHARE) of a join's rows, and at least so many.
+HOT_SHARE, HOT_ROWS = 1000, 1000
+#: Tasks that compare the sets that share a hot shingle.
+SPLIT = 64
 #: Bits of the filter that tells which sets a round needs; false hits are joined away.
 FILTER_BITS = 1 << 24
 WORDS = 200_000
@@ -127,6 +137,11 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.equal(a, b).mean(axis=1) - gamma) / (1 - gamma)
 
 
+def key_registers(similarity: int) -> int:
+    """The most registers of a key with which few enough pairs are missed."""
+    return next((r for r in (4, 2) if (1 - (similarity / 100) ** r) ** (REGISTERS // r) <= MISSED), 1)
+
+
 def _described(similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -211,6 +226,31 @@ def _estimated(limit: float):
     return tidied(run)
 
 
+def _hot(rows: DataFrame, keys: list[str], counts: DataFrame | None = None) -> DataFrame | None:
+    """The hot keys of rows, a table that can be read again; counts, if there: rows by key, as column c."""
+    limit = max(HOT_ROWS, rows.count() // HOT_SHARE)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("c")) if counts is None else counts
+    hot = counts.where(F.col("c") > limit).select(*keys).collect()  # fewer than HOT_SHARE
+    return F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*keys).schema)) if hot else None
+
+
+def _looked_up(rows: DataFrame, found: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """rows with found, which has one row a key, by keys; the hot keys' part of found is broadcast."""
+    if (hot := _hot(rows, keys, counts)) is None:
+        return rows.join(found, keys, how)
+    many = rows.join(hot, keys, "left_semi").join(F.broadcast(found.join(hot, keys, "left_semi")), keys, how)
+    return rows.join(hot, keys, "left_anti").join(found, keys, how).unionByName(many)
+
+
+def _paired(x: DataFrame, y: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """x with y by key; a hot key's rows of x are dealt to SPLIT tasks, and its rows of y go to each."""
+    if hot is None:
+        return x.join(y, key)
+    dealt = x.join(hot, key, "left_semi").withColumn("part", F.pmod(F.hash("a"), F.lit(SPLIT)))
+    copies = y.join(hot, key, "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))))
+    return x.join(hot, key, "left_anti").join(y, key).unionByName(dealt.join(copies, [key, "part"]).drop("part"))
+
+
 class _Classes:
     """The classes of a table, and the links between them."""
 
@@ -223,14 +263,15 @@ class _Classes:
         self.classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "dedup-classes")
 
     def keys(self) -> DataFrame:
-        bands = F.posexplode(F.slice("sig", 1, BANDS)).alias("band", "key")
-        return self.classes.where("sig is not null").select("node", "n", bands)
+        bits = 16 * key_registers(self.similarity)
+        parts = "sig" if bits == 64 else f"flatten(transform(sig, x -> transform(sequence(0, {64 - bits}, {bits}), k -> shiftrightunsigned(x, k) & {(1 << bits) - 1}L)))"
+        return self.classes.where("sig is not null").select("node", "n", F.posexplode(F.expr(parts)).alias("band", "key"))
 
     def share(self) -> None:
         """shared: the band keys that several classes have; sets: those classes' full sets."""
         keys = self.keys()
-        often = keys.groupBy("band", "key").agg(F.count("*").alias("c")).where("c > 1")
-        shared = written(keys.join(often, ["band", "key"]), "dedup-keys")
+        often = written(keys.groupBy("band", "key").agg(F.count("*").alias("c")).where("c > 1"), "dedup-often")
+        shared = written(_looked_up(keys, often, ["band", "key"], counts=often), "dedup-keys")
         degree = shared.groupBy("node").agg(F.sum("c").alias("degree"))
         self.shared = written(shared.drop("c").join(degree, "node"), "dedup-shared")
         wanted = self.classes.join(self.shared.select("node").distinct(), "node").select("node", "n", "fp1", "fp2")
@@ -244,16 +285,16 @@ class _Classes:
         self.sets = written(wanted.join(sets, ["fp1", "fp2"]).select("node", "n", "shingles"), "dedup-sets")
 
     def passed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose estimate comes near the limit."""
+        """The pairs (a, b) whose estimate comes near the limit; many may share an a."""
         sig = self.classes.select("node", "sig")
-        both = pairs.join(sig.toDF("b", "sig_b"), "b").join(sig.toDF("a", "sig_a"), "a").select("a", "b", "sig_a", "sig_b")
+        both = _looked_up(pairs, sig.toDF("a", "sig_a"), ["a"]).join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
         return both.mapInArrow(_estimated(self.similarity / 100 - SLACK), "a long, b long")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b), a the centre, that the full sets confirm; a centre with many members goes to several tasks."""
         pairs = written(pairs, "dedup-pairs")
         salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
-        members = pairs.join(salts, "a").select("a", "b", F.pmod(F.hash("b"), "salts").alias("salt"))
+        members = _looked_up(pairs, salts, ["a"]).select("a", "b", F.pmod(F.hash("b"), "salts").alias("salt"))
         centres = salts.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
         sets = self.sets.select(F.col("node").alias("b"), "shingles")
         dealt = members.unionByName(centres).join(sets, "b").select("a", "b", "salt", "shingles")
@@ -261,20 +302,19 @@ class _Classes:
         return written(dealt.mapInArrow(_confirmed(self.similarity), "a long, b long"), "dedup-links")
 
 
-
 def _joined(links: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Labels (node, label) after these links; the label is a component's smallest node."""
     if labels is not None:
         left, right = labels.toDF("a", "la"), labels.toDF("b", "lb")
-        links = links.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a != b").distinct()
+        links = _looked_up(links, left, ["a"], "left").join(right, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a != b").distinct()
     edges = written(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v"), "dedup-edges")
     now = written(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("l")), "dedup-labels")
     while True:
-        near = edges.join(now.toDF("v", "lv"), "v").groupBy("u").agg(F.min("lv").alias("m"))
+        near = _looked_up(edges, now.toDF("v", "lv"), ["v"]).groupBy("u").agg(F.min("lv").alias("m"))
         step = near.join(now, "u").select("u", F.least("m", "l").alias("l"), F.col("l").alias("was"))
         step = written(step, "dedup-step")
         jump = step.select(F.col("u").alias("l"), F.col("l").alias("ll"))
-        after = written(step.join(jump, "l").select("u", F.col("ll").alias("l"), (F.col("ll") < F.col("was")).alias("moved")), "dedup-labels")
+        after = written(_looked_up(step, jump, ["l"]).select("u", F.col("ll").alias("l"), (F.col("ll") < F.col("was")).alias("moved")), "dedup-labels")
         if after.where("moved").isEmpty():
             break
         now = after.drop("moved")
@@ -282,7 +322,7 @@ def _joined(links: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return now
     old = labels.toDF("node", "old")
-    moved = old.join(now.toDF("old", "label"), "old", "left").select("node", F.coalesce("label", "old").alias("label"))
+    moved = _looked_up(old, now.toDF("old", "label"), ["old"], "left").select("node", F.coalesce("label", "old").alias("label"))
     return written(moved.unionByName(now.join(old, "node", "left_anti")), "dedup-labels")
 
 
@@ -296,16 +336,16 @@ def components(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         # from; then that of the least hash
         turn = F.xxhash64("node", F.lit(k)) if k else -F.col("degree")
         open_ = rows.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(turn).alias("turn")).where("lo != hi")
-        near = written(rows.withColumn("own", turn).join(open_.select("band", "key", "turn"), ["band", "key"]), "dedup-near")
+        near = written(_looked_up(rows.withColumn("own", turn), open_.select("band", "key", "turn"), ["band", "key"]), "dedup-near")
         centres = near.where("own = turn").groupBy("band", "key").agg(F.min("node").alias("a"), F.min("label").alias("la"))
-        pairs = near.join(centres, ["band", "key"]).where("label != la").groupBy(F.col("node").alias("b"), "a").agg(F.count("*").alias("c"))
+        pairs = _looked_up(near, centres, ["band", "key"]).where("label != la").groupBy(F.col("node").alias("b"), "a").agg(F.count("*").alias("c"))
         best = pairs.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
-        links = held.confirmed(held.passed(best.select("a", "b")))
+        links = held.confirmed(held.passed(written(best.select("a", "b"), "dedup-best")))
         rows = near.select("node", "n", "degree", "band", "key", "label")
         if links.isEmpty():
             break
         labels = _joined(links, labels)
-        rows = rows.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rows = written(rows.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "dedup-rows")
 
     pairs = written(_rare(held, rows), "dedup-rare")
     if not pairs.isEmpty():
@@ -314,14 +354,14 @@ def components(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
             labels = _joined(links, labels)
     classes = held.classes.select("fp1", "fp2", "node", "least")
     if labels is not None:
-        inside = classes.join(labels, "node")
+        inside = written(classes.join(labels, "node"), "dedup-inside")
         least = inside.groupBy("label").agg(F.min("least").alias("low"))
-        low = inside.join(least, "label").select("fp1", "fp2", "low")
+        low = _looked_up(inside, least, ["label"]).select("fp1", "fp2", "low")
         classes = classes.join(labels, "node", "left_anti").select("fp1", "fp2", F.col("least").alias("low")).unionByName(low)
     else:
         classes = classes.select("fp1", "fp2", F.col("least").alias("low"))
     rows = held.base.select("doc_id", "n_shingles", "fp1", "fp2")
-    full = rows.where("n_shingles > 0").join(classes, ["fp1", "fp2"]).select("doc_id", "n_shingles", F.col("low").alias("component_id"))
+    full = _looked_up(rows.where("n_shingles > 0"), classes, ["fp1", "fp2"]).select("doc_id", "n_shingles", F.col("low").alias("component_id"))
     out = full.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.expr("doc_id <=> component_id"))
 
@@ -344,18 +384,19 @@ def _rare(held: _Classes, rows: DataFrame) -> DataFrame:
     """
     t = held.similarity
     size = rows.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-    open_ = rows.join(size.select("band", "key"), ["band", "key"]).select("node", "label").distinct()
+    open_ = _looked_up(rows, size.select("band", "key"), ["band", "key"]).select("node", "label").distinct()
     tokens = open_.join(held.sets, "node").select("node", "n", "label", "shingles").mapInArrow(tidied(_tokens), "token long, node long, n long, label long")
     tokens = written(tokens, "dedup-tokens")
-    often = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("c > 1").select("token", "c", (F.col("lo") != F.col("hi")).alias("open"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("c > 1")
+    often = written(often.select("token", "c", (F.col("lo") != F.col("hi")).alias("open")), "dedup-shingles")
     turn = Window.partitionBy("node").orderBy("c", "token")
-    kept = tokens.join(often, "token").withColumn("k", F.row_number().over(turn)).withColumn("all", F.count("*").over(Window.partitionBy("node")))
+    kept = _looked_up(tokens, often, ["token"], counts=often).withColumn("k", F.row_number().over(turn)).withColumn("all", F.count("*").over(Window.partitionBy("node")))
     # shingles that no other open class has come first
     placed = kept.select("token", "open", "node", "n", "label", (F.col("n") - F.col("all") + F.col("k")).alias("i"))
     first = written(placed.where(f"open and i <= n - ceil({t} * n / 100) + 1").drop("open"), "dedup-first")
     x, y = first.toDF("token", "a", "na", "la", "ia"), first.toDF("token", "b", "nb", "lb", "ib")
     fits = F.expr(f"a < b and la != lb and 1 + least(na - ia, nb - ib) >= ceil({t} * (na + nb) / {100 + t})")
-    return x.join(y, "token").where(fits).select("a", "b").distinct()
+    return _paired(x, y, "token", _hot(first, ["token"])).where(fits).select("a", "b").distinct()
 
 
 def deduplicate(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
