@@ -35,7 +35,12 @@ SEGMENT, UNITS, LANES = 64, 8, 2048
 #: Training: steps, segments of a step, step size.
 STEPS, BATCH, RATE = 450, 256, 0.02
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numerals such as fractions, which aren't.
+_LETTERLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: bytes) -> bool:
+    return any(m[0].isalpha() for m in _LETTERLIKE.finditer(text.decode("utf-8", "replace")))
 
 
 @dataclass
@@ -274,7 +279,7 @@ def fit(docs: DataFrame, learn=None, against: bool = False) -> Model | None:
 
 def _judged(m: Model | None, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
-    known = [m is not None and _LETTER.search(t.decode("utf-8", "replace")) is not None for t in texts]
+    known = [m is not None and has_letter(t) for t in texts]
     sums = document_sums(m, texts) if m is not None and any(known) else np.zeros((len(texts), 1))
     best = sums.argmax(1)
     top = sums[np.arange(len(texts)), best] / np.maximum(1, [len(t) for t in texts])
@@ -306,7 +311,7 @@ LEAST = 0.3
 
 def held_shares(m: Model | None, texts: list[bytes]) -> np.ndarray:
     """The share of each text's bytes that the learned languages hold, by a model with the class of what is none; 0 without a letter."""
-    known = np.array([m is not None and _LETTER.search(t.decode("utf-8", "replace")) is not None for t in texts], bool)
+    known = np.array([m is not None and has_letter(t) for t in texts], bool)
     if not known.any():
         return np.zeros(len(texts))
     sums = document_sums(m, texts)
