@@ -5,10 +5,11 @@ rightmost of equal ones). The kept ones of all templates form an inverted index.
 same way, so a shared passage of WINDOW + SHINGLE - 1 words meets in the index at least once. Of a template that may
 reach the coverage without such a passage (as short ones do, with a word replaced or left out in their middle) all
 shingles of two words are indexed, or all words where even two may not be left, and nothing is winnowed. Words that a
-document inserts at several places can still part a template into passages that are too short. Hits of one template at
-neighbouring places are chained to a region, and a local alignment of the template against the region, within a band
-of BAND words around the hits' diagonal, gives the matched words: equal words score 2, a substitution, insertion or
-deletion -1. Of overlapping alignments of one template the first of the best coverage is reported.
+document inserts at several places can still part a template into passages that are too short. Hits of one template
+that follow one another in it and in the document are chained to a region, and a local alignment of the template
+against the region, within a band of BAND words around the chain's diagonals, gives the matched words: equal words
+score 2, a substitution, insertion or deletion -1. Of overlapping alignments of one template the first of the best
+coverage is reported.
 
 Templates are a bounded parameter (MAX_WORDS words in all), so the index is broadcast. Null and empty texts have no
 match; repeated rows are scanned each; an empty table gives no rows.
@@ -16,6 +17,7 @@ match; repeated rows are scanned each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import math
 import zlib
 from collections.abc import Iterator
@@ -74,8 +76,8 @@ def hashes(codes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
 
 
 def align(a: list, b: list, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """Local alignment of a against b near b's place = a's place + diagonal: matched words, begin and end in b."""
-    best, row = (0, 0, 0, 0), {}
+    """Local alignment of a against b near b's place = a's place + diagonal: matched words, begin and end in b. Of equal ones that which ends nearest the diagonal."""
+    best, row = (0, 0, 0, 0, 0), {}
     for i, w in enumerate(a):
         new: dict[int, tuple[int, int, int]] = {}
         lo, hi = max(0, i + diagonal - band), min(len(b), i + diagonal + band + 1)
@@ -91,10 +93,10 @@ def align(a: list, b: list, diagonal: int, band: int = BAND) -> tuple[int, int,
             top = max(options, key=lambda o: (o[0], o[1], -o[2]))
             if top[0] > 0:
                 new[j] = top
-                if (top[0], top[1]) > best[:2]:
-                    best = (top[0], top[1], top[2], j + 1)
+                if (rank := (top[0], top[1], -abs(j - i - diagonal))) > best[:3]:
+                    best = (*rank, top[2], j + 1)
         row = new
-    return best[1:]
+    return best[1], best[3], best[4]
 
 
 def passage(words: int, coverage: float) -> int:
@@ -141,22 +143,48 @@ class Index:
         out = []
         for k in sorted(hits):
             template, found = self.words[k], []
-            for diagonal in sorted({d for d, _ in hits[k]}):
-                lo = max(0, diagonal - BAND)
-                region = words[lo : diagonal + len(template) + BAND]
+            for low, high in chains(hits[k], len(template)):
+                lo = max(0, low - BAND)
+                region = words[lo : high + len(template) + BAND]
                 if sum(map(set(region).__contains__, template)) < coverage * len(template):  # so many can't match
                     continue
-                matched, a, z = align(template, region, diagonal - lo)
+                middle = (low + high) // 2
+                matched, a, z = align(template, region, middle - lo, BAND + high - middle)
                 if matched >= coverage * len(template):
                     found.append((-matched, lo + a, lo + z))
-            taken: list[tuple[int, int]] = []
+            begins: list[int] = []
+            ends: list[int] = []
             for matched, a, z in sorted(found):
-                if all(z <= x or a >= y for x, y in taken):
-                    taken.append((a, z))
+                at = bisect.bisect_left(begins, a)
+                if (at == 0 or ends[at - 1] <= a) and (at == len(begins) or begins[at] >= z):
+                    begins.insert(at, a)
+                    ends.insert(at, z)
                     out.append((self.names[k], a, z, -matched, round(-matched / len(template), 6)))
         return sorted(out)
 
 
+def chains(hits: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """The least and the greatest diagonal of each region: hits (diagonal, place) of one template of size words.
+
+    In the order of their places, a hit goes on with the latest open chain whose last hit lies before it in the
+    template too, less than the template's length away, on a diagonal that BAND words allow; else it opens one.
+    """
+    done, open_ = [], []
+    for place, diagonal in sorted((p, d) for d, p in hits):
+        still = []
+        for c in open_:
+            (still if place - c[3] <= size + BAND else done).append(c)
+        open_ = still
+        start = place - diagonal
+        for c in reversed(open_):
+            if start > c[2] and abs(diagonal - c[4]) <= BAND:
+                c[0], c[1], c[2:] = min(c[0], diagonal), max(c[1], diagonal), [start, place, diagonal]
+                break
+        else:
+            open_.append([diagonal, diagonal, start, place, diagonal])
+    return sorted({(c[0], c[1]) for c in done + open_})
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, license, start_word, end_word, matched_words and coverage: a row for each match."""
     spark = docs.sparkSession
