@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
 import base64
+import os
 import random
 import string
 
@@ -8,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crestline.llm import decontam, dedup, langid, licenses, urls
+from crestline.llm import chat, decontam, dedup, langid, licenses, urls
+from crestline.llm.common import remove_written, written
 from tests.llm.test_brute import components, shingle_set
 
 
@@ -44,7 +46,7 @@ def test_passages_are_cut_alike_by_parts_of_the_benchmark(spark):
     assert parts[2][1].split() == docs[2][:5] + docs[2][17:]
 
 
-@pytest.mark.parametrize("percent", [80, 85])
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
 def test_short_near_copies(spark, percent):
     pairs = [(f"p{n}x{j}", n) for n in range(1, 13) for j in range(4)]
     rows = [" ".join(f"{p}w{k}" for k in range(m)) for p, n in pairs for m in (n, n + 1)]
@@ -56,7 +58,8 @@ def test_short_near_copies(spark, percent):
 
 
 def test_all_registers_are_in_bands():
-    assert 4 * dedup.BANDS == dedup.REGISTERS and (1 - 0.8**4) ** dedup.BANDS < 1 / 20_000_000
+    assert [dedup.key_registers(x) for x in (95, 85, 80, 70, 50, 30)] == [4, 4, 4, 2, 2, 1]
+    assert (1 - 0.8**4) ** 32 < 1 / 20_000_000 and (1 - 0.5**2) ** 64 < 1 / 20_000_000
 
 
 def test_short_labelled_texts_are_learnt(spark):
@@ -109,3 +112,64 @@ def test_listed_domains_of_many_labels(spark):
     caps = spark.createDataFrame([(k, f"http://{h}/", "2024-06-01") for k, h in enumerate(hosts)], "capture_id long, url string, fetched string").withColumn("fetched", F.col("fetched").cast("timestamp"))
     entries = spark.createDataFrame([(deep, "add", "2024-01-01")], "domain string, action string, at string")
     assert {r.capture_id for r in urls.verdicts(caps, entries).where("not kept").collect()} == {0, 1, 2}
+
+
+def test_repeated_notices_are_all_found():
+    index = licenses.Index(licenses.TEMPLATES)
+    for name, template in licenses.TEMPLATES.items():
+        n = len(licenses.words_of(template.encode()))
+        found = [x for x in index.scan(((template + " ") * 300).encode(), 0.8) if x[0] == name]
+        assert [(a, z) for _, a, z, _, _ in found] == [(k * n, (k + 1) * n) for k in range(300)], name
+
+
+def test_captures_are_judged_one_by_one(spark, monkeypatch):
+    rows = [(2, "http://good.org/", "2024-06-01"), (2, "http://bad.example/", "2024-06-01"), (2, "http://bad.example/", "2024-06-01"), (2, "http://bad.example/", "2023-06-01"), (3, "http://[2001:db8::1]:80/x", "2024-06-01"), (4, "http://[2001:db8::2]/x", "2024-06-01")]
+    caps = spark.createDataFrame(rows, "capture_id long, url string, fetched string").withColumn("fetched", F.col("fetched").cast("timestamp"))
+    entries = spark.createDataFrame([("bad.example", "add", "2024-01-01"), ("[2001:db8::1]", "add", "2024-01-01")], "domain string, action string, at string")
+    expected = sorted([(2, "good.org", True), *[(2, "bad.example", False)] * 2, (2, "bad.example", True), (3, "[2001:db8::1]", False), (4, "[2001:db8::2]", True)])
+    for rows in (urls.BROADCAST_ROWS, 0):  # broadcast, and dealt out with salts
+        monkeypatch.setattr(urls, "BROADCAST_ROWS", rows)
+        assert sorted((r.capture_id, r.host, r.kept) for r in urls.verdicts(caps, entries).collect()) == expected
+        assert sorted((r.capture_id, r.domain) for r in urls.match(caps, entries).collect()) == [*[(2, "bad.example")] * 2, (3, "[2001:db8::1]")]
+
+
+def test_numerals_are_not_letters(spark):
+    docs = spark.createDataFrame([(k, "the words of this text are english", "en") for k in range(40)] + [(90, "²½ 12", None), (91, "Ⅷ", None), (92, "²½ a", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.report(docs).collect()}
+    assert got[90] == got[91] == "und" and got[92] == "en"
+
+
+def test_hot_keys_change_nothing(spark, monkeypatch):
+    """Joins whose hot keys are broadcast or dealt out give what plain ones give."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(400)}" for _ in range(80)]
+    rows = []
+    for k in range(300):
+        copy = list(base)
+        for _ in range(k % 9):
+            copy[rng.randrange(80)] = f"x{k}y{rng.randrange(99)}"
+        rows.append((k, " ".join(copy)))
+    expected = components({k: shingle_set(t) for k, t in rows}, 80)
+    monkeypatch.setattr(dedup, "HOT_ROWS", 5)
+    monkeypatch.setattr(dedup, "HOT_SHARE", 20)
+    got = dedup.components(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == expected
+
+
+def test_long_conversations_cross_blocks(spark):
+    """Prefix sums over several blocks of turns; null, negative and equal turns."""
+    rows = [(1, k, "user" if k % 2 else "assistant", f"turn {k}") for k in range(-300, 700)] + [(1, None, "user", "first of all"), (2, 5, "user", "b"), (2, 5, "user", "a"), (2, None, "assistant", "n")]
+    turns = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "k").collect()
+    t = chat.template(chat.default_path())
+    for conv, texts in ((1, ["first of all", *(f"turn {k}" for k in range(-300, 700))]), (2, ["n", "a", "b"])):
+        of = [r for r in turns if r.conv_id == conv]
+        assert [r.k for r in of] == list(range(len(texts))) and [t.read(np.array(r.ids))[1] for r in of] == texts
+        at = 0
+        for r in of:
+            assert r.start == at and len(r.mask) == len(r.ids)
+            at += len(r.ids)
+
+
+def test_intermediate_tables_are_removed(spark):
+    path = written(spark.range(3), "kept").inputFiles()[0].removeprefix("file:")
+    assert os.path.exists(path) and remove_written(spark) > 0 and not os.path.exists(path) and remove_written(spark) == 0
