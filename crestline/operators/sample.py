@@ -44,7 +44,9 @@ def pixel(x: Column, y: Column, dem: Dem, dialect: Dialect) -> tuple[Column, Col
 
 
 def small(dem: Dem) -> bool:
-    return dem.n_rows * dem.n_cols * 8 <= BROADCAST_BYTES
+    """Whether what is held of the raster, its window if it has one, can be broadcast."""
+    r0, r1, c0, c1 = dem.window or (0, dem.n_rows, 0, dem.n_cols)
+    return (r1 - r0) * (c1 - c0) * 8 <= BROADCAST_BYTES
 
 
 def lookup(points: DataFrame, dem: Dem, row: str, col: str, out: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import os
 import tempfile
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,12 +41,14 @@ class Dem:
     first_col: int = 0
     #: Rows outside are not held (a window); lookups there are null.
     window: tuple[int, int, int, int] | None = None
+    #: What was made from the raster once and serves again.
+    kept: dict = field(init=False, compare=False, repr=False, default_factory=dict)
 
-    @property
+    @functools.cached_property
     def raw(self) -> bool:
         return "dn" in self.rows.columns
 
-    @property
+    @functools.cached_property
     def is_global(self) -> bool:
         return self.transform.spans_sphere(self.n_rows, self.n_cols)
 
@@ -53,6 +56,12 @@ class Dem:
     def pixel_km(self) -> float:
         return abs(self.transform.a) / 1000.0
 
+    def without_rows(self) -> Dem:
+        """Shape, transform and decoding alone, as they go to executors."""
+        shape = replace(self, rows=None)
+        shape.__dict__.update(raw=self.raw, is_global=self.is_global)
+        return shape
+
     def value(self, dn: Column) -> Column:
         """Metres of a raw number; the nodata value, compared before scaling, is null."""
         metres = dn.cast("double") * F.lit(self.scale) + F.lit(self.offset)
@@ -134,13 +143,24 @@ def write_json_atomic(path: str, payload) -> None:
     os.replace(part, path)
 
 
-def from_meta(rows: DataFrame, meta: dict) -> Dem:
-    """A raster of Parquet rows and its metadata; layouts with and without chunks, raw or in metres."""
+def check_shape(dem: Dem) -> None:
+    """Raises unless the rows are 0..n_rows - 1, each once and of n_cols pixels."""
+    name = "dn" if dem.raw else "h"
+    seen = dem.rows.agg(F.count("*").alias("n"), F.countDistinct("row").alias("d"), F.min("row").alias("a"), F.max("row").alias("z"), F.min(F.size(name)).alias("least"), F.max(F.size(name)).alias("most")).first()
+    if tuple(seen) != (dem.n_rows, dem.n_rows, 0, dem.n_rows - 1, dem.n_cols, dem.n_cols):
+        raise ValueError(f"the rows have {seen.asDict()}, not the shape {[dem.n_rows, dem.n_cols]} of the metadata")
+
+
+def from_meta(rows: DataFrame, meta: dict, check: bool = False) -> Dem:
+    """A raster of Parquet rows and its metadata; layouts with and without chunks, raw or in metres. check: compares their shapes."""
     chunks = meta.get("chunks")
     if chunks:
         check_manifest(rows.sparkSession.createDataFrame(chunks, "file string, row_start int, row_end int"), meta["shape"][0])
     nodata = meta.get("nodata_dn")
-    return Dem(rows, Affine(*meta["transform"]), *meta["shape"], scale=meta.get("scale") or 1.0, offset=meta.get("offset") or 0.0, nodata_dn=nodata, rows_per_chunk=meta.get("rows_per_chunk"))
+    dem = Dem(rows, Affine(*meta["transform"]), *meta["shape"], scale=meta.get("scale") or 1.0, offset=meta.get("offset") or 0.0, nodata_dn=nodata, rows_per_chunk=meta.get("rows_per_chunk"))
+    if check:
+        check_shape(dem)
+    return dem
 
 
 def ingest(pixels: DataFrame, transform: Affine, n_rows: int, n_cols: int, scale: float = 1.0, offset: float = 0.0, nodata_dn: float | None = None, decode: bool = True, chunk_mb: float = CHUNK_MB) -> Dem:

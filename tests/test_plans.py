@@ -55,3 +55,9 @@ def test_slopes_are_aggregated_before_the_shuffle(spark, sf):
 
 def test_histograms_count_before_the_shuffle(spark, sf):
     assert "partial_count" in plan(histogram(queries._results(spark, sf), "worst_angle_deg"))
+
+
+def test_tiles_shuffle_no_samples(spark, sf):
+    """What is shuffled by cell are targets and pieces of raster rows; the kernel's samples are never rows."""
+    text = plan(queries.horizon_scan_tiles(spark, sf))
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text and "hashpartitioning(cell" in text and "sin_arc" not in text
