@@ -36,50 +36,50 @@ def strided(spark: SparkSession, t: Affine, n_rows: int, n_cols: int, stride: in
     return out if lat_max is None else out.where(F.col("lat") <= lat_max)
 
 
+def lattice(spark: SparkSession, rows: range, cols: range, row: str, col: str) -> DataFrame:
+    """target_id and the two numbers of each cell of rows x cols, row after row; made from one flat range."""
+    place, width = F.col("id"), max(1, len(cols))
+    cells = spark.range(len(rows) * len(cols))
+    return cells.select(place.alias("target_id"), (F.floor(place / width) + rows.start).cast("int").alias(row), (place % width + cols.start).cast("int").alias(col))
+
+
+def _multiples(low: float, high: float, step: float) -> range:
+    """The whole numbers k with low <= k step <= high."""
+    return range(math.ceil(low / step), math.floor(high / step) + 1)
+
+
 def polar_grid(spark: SparkSession, spacing_km: float, lat_max: float | None = None, region: tuple[float, float, float] | None = None) -> DataFrame:
     """target_id, x_km, y_km, lat, lon on multiples of spacing_km in the south-polar plane.
 
     A cap at or south of lat_max, or a square region (centre x, centre y, width; km), cut at lat_max if that is given
     too. A cap without lat_max ends at -80 degrees; a region without it isn't cut. Rows go by y, then x.
     """
-    if region is None and lat_max is None:
-        lat_max = -80.0
-    edge = None if lat_max is None else 2.0 * geo.RADIUS_KM * math.tan(math.radians(90.0 + lat_max) / 2.0)
-    if region is None:
-        n = math.floor(edge / spacing_km)
-        xs = ys = (-n, n)
-    else:
-        cx, cy, width = region
-        xs, ys = ((math.ceil((c - width / 2) / spacing_km), math.floor((c + width / 2) / spacing_km)) for c in (cx, cy))
-    if xs[1] < xs[0] or ys[1] < ys[0]:
-        return spark.createDataFrame([], "target_id long, x_km double, y_km double, lat double, lon double")
-    width = xs[1] - xs[0] + 1
-    cells = spark.range(ys[0], ys[1] + 1).select(F.col("id").alias("iy"), F.explode(F.sequence(F.lit(xs[0]).cast("long"), F.lit(xs[1]).cast("long"))).alias("ix"))
-    plane = cells.select(((F.col("iy") - ys[0]) * width + F.col("ix") - xs[0]).alias("target_id"), (F.col("ix") * F.lit(float(spacing_km))).alias("x_km"), (F.col("iy") * F.lit(float(spacing_km))).alias("y_km"))
-    if edge is not None:
-        plane = plane.where(F.hypot("x_km", "y_km") <= edge + 1e-9)
+    cap = lat_max if region or lat_max is not None else -80.0
+    rim = math.inf if cap is None else 2.0 * geo.RADIUS_KM * math.tan(math.radians(90.0 + cap) / 2.0)
+    x, y, half = (region[0], region[1], region[2] / 2) if region else (0.0, 0.0, rim)
+    plane = lattice(spark, _multiples(y - half, y + half, spacing_km), _multiples(x - half, x + half, spacing_km), "iy", "ix")
+    plane = plane.select("target_id", *((F.col(i) * F.lit(float(spacing_km))).alias(c) for i, c in (("ix", "x_km"), ("iy", "y_km"))))
     lat, lon = geo.from_polar("x_km", "y_km")
-    return plane.select("target_id", "x_km", "y_km", lat.alias("lat"), lon.alias("lon"))
+    return plane.where(F.hypot("x_km", "y_km") <= rim + 1e-9).select("target_id", "x_km", "y_km", lat.alias("lat"), lon.alias("lon"))
 
 
 def box_grid(spark: SparkSession, lat0: float, lat1: float, lon0: float, lon1: float, spacing_km: float, mode: str = "exact") -> DataFrame:
     """target_id, grid_row, grid_col, lat, lon at a ground spacing, from the box's south-west corner.
 
-    exact: each row has the longitude step of its own latitude; rect: all rows that of the box's middle.
+    exact: each row has the longitude step of its own latitude; rect: all rows that of the box's middle. Ids follow one
+    another along the row that has most columns; shorter rows leave the rest out.
     """
     if mode not in ("exact", "rect"):
         raise ValueError(f"no such grid: {mode}")
-    lat0, lat1, lon0, lon1 = min(lat0, lat1), max(lat0, lat1), min(lon0, lon1), max(lon0, lon1)
-    dlat = spacing_km / KM_PER_DEGREE
-    n_lat = math.floor((lat1 - lat0) / dlat + 1e-9) + 1
-    lat = F.lit(lat0) + F.lit(dlat) * F.col("grid_row")
-    rows = spark.range(n_lat).select(F.col("id").cast("int").alias("grid_row")).withColumn("lat", lat)
-    cos = F.cos(F.radians("lat")) if mode == "exact" else F.cos(F.radians(F.lit(0.5 * (lat0 + lat1))))
-    rows = rows.withColumn("dlon", F.lit(spacing_km) / (F.lit(KM_PER_DEGREE) * cos))
-    last = F.floor(F.lit(lon1 - lon0) / F.col("dlon") + F.lit(1e-9)).cast("int")
-    cells = rows.select("grid_row", "lat", "dlon", F.explode(F.sequence(F.lit(0), last)).alias("grid_col"))
-    lon = F.lit(lon0) + F.col("dlon") * F.col("grid_col")
-    return cells.select((F.col("grid_row").cast("long") * (1 << 24) + F.col("grid_col")).alias("target_id"), "grid_row", "grid_col", "lat", lon.alias("lon"))
+    (south, north), (west, east) = sorted((lat0, lat1)), sorted((lon0, lon1))
+    up, middle = spacing_km / KM_PER_DEGREE, 0.5 * (south + north)
+    widest = middle if mode == "rect" else min(max(0.0, south), north)  # the latitude nearest the equator
+    fits = lambda room, step: math.floor(room / step + 1e-9)
+    cells = lattice(spark, range(fits(north - south, up) + 1), range(fits(east - west, up / math.cos(math.radians(widest))) + 1), "grid_row", "grid_col")
+    cells = cells.withColumn("lat", F.lit(south) + F.lit(up) * F.col("grid_row"))
+    across = F.lit(spacing_km) / (F.lit(KM_PER_DEGREE) * F.cos(F.radians("lat" if mode == "exact" else F.lit(middle))))
+    cells = cells.withColumn("across", across).where(F.col("grid_col") <= F.floor(F.lit(east - west) / F.col("across") + F.lit(1e-9)))
+    return cells.select("target_id", "grid_row", "grid_col", "lat", (F.lit(west) + F.col("across") * F.col("grid_col")).alias("lon"))
 
 
 def probes(targets: DataFrame, k: int = 8) -> DataFrame:
