@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,14 +44,39 @@ def coverage(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n_total"), F.count(v).alias("n_valid"), (F.count("*") - F.count(v)).alias("n_missing"), F.min(v).alias("v_min"), F.max(v).alias("v_max"))
 
 
+#: Bands of values that percentiles are searched in.
+BANDS = 4096
+#: Percentiles of a summary.
+QUANTILES = {"v_median": 0.5, "v_p95": 0.95}
+
+
 def summary(df: DataFrame, *columns: str) -> DataFrame:
-    """A row for each column: n, min, median, mean, p95 (interpolated), max of its finite values."""
-    out = None
-    for c in columns:
-        v = known(c)
-        one = df.agg(F.lit(c).alias("field"), F.count(v).alias("n"), F.min(v).alias("v_min"), F.percentile(v, F.lit(0.5)).alias("v_median"), F.avg(v).alias("v_mean"), F.percentile(v, F.lit(0.95)).alias("v_p95"), F.max(v).alias("v_max"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """A row for each column: n, min, median, mean, p95 (interpolated), max of its finite values; n 0 and nulls without any.
+
+    One pass over df: equal values are counted together, the counts summed by bands of equal width, and only the bands
+    that hold a percentile's places are sorted, so no task holds a column's values.
+    """
+    values = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), known(c).cast("double").alias("v")) for c in columns))).alias("x")
+    each = df.select(values).select("x.field", "x.v").where("v is not null").groupBy("field", "v").agg(F.count("*").alias("c"))
+    basic = each.groupBy("field").agg(F.sum("c").alias("n"), F.min("v").alias("v_min"), F.max("v").alias("v_max"), F.try_divide(F.sum(F.col("v") * F.col("c")), F.sum("c")).alias("v_mean"))
+    at = {q: (F.col("n") - 1) * F.lit(share) for q, share in QUANTILES.items()}
+    basic = basic.withColumns({f"{q}_{side}": cut(place).cast("long") for q, place in at.items() for side, cut in (("lo", F.floor), ("hi", F.ceil))})
+    places = [f"{q}_{side}" for q in QUANTILES for side in ("lo", "hi")]
+    few = F.broadcast(basic)  # a row for each column
+    width = F.col("v_max") - F.col("v_min")
+    band = F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("v_min"), width) * (BANDS - 1)).cast("int"), F.lit(0))
+    banded = each.join(few.select("field", "v_min", "v_max"), "field").select("field", "v", "c", band.alias("band"))
+    over = Window.partitionBy("field").orderBy("band")  # at most BANDS rows a column
+    bands = banded.groupBy("field", "band").agg(F.sum("c").alias("held")).withColumn("end", F.sum("held").over(over)).join(few, "field")
+    holds = [(F.col(p) >= F.col("end") - F.col("held")) & (F.col(p) < F.col("end")) for p in places]
+    some = bands.where(functools.reduce(Column.__or__, holds)).select("field", "band", (F.col("end") - F.col("held")).alias("before"), *places)
+    ranked = banded.join(F.broadcast(some), ["field", "band"])  # as many bands as places at most
+    ranked = ranked.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("field", "band").orderBy("v")))
+    found = ranked.groupBy("field").agg(*(F.max(F.when((F.col(p) < F.col("upto")) & (F.col(p) >= F.col("upto") - F.col("c")), F.col("v"))).alias(f"at_{p}") for p in places))
+    between = {q: F.col(f"at_{q}_lo") + (F.col(f"at_{q}_hi") - F.col(f"at_{q}_lo")) * (place - F.floor(place)) for q, place in at.items()}
+    done = basic.join(found, "field").withColumns(between)
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "field string")
+    return F.broadcast(names).join(done, "field", "left").select("field", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "v_min", "v_median", "v_mean", "v_p95", "v_max")
 
 
 def run_stats(df: DataFrame, value: str, by: str) -> DataFrame:
@@ -109,13 +136,22 @@ def scaled(df: DataFrame, value: str, out: str = "shade") -> DataFrame:
     return df.join(F.broadcast(ends)).withColumn(out, F.try_divide(v - F.col("_lo"), F.col("_hi") - F.col("_lo"))).drop("_lo", "_hi")
 
 
-def image_pixel(lat: Column | str, lon: Column | str, height: int, width: int) -> tuple[Column, Column]:
-    """Row and column of an equirectangular image, by truncation, kept inside it."""
-    r = ((F.lit(90.0) - geo.column(lat)) / F.lit(180.0) * F.lit(height - 1)).cast("int")
-    c = ((geo.column(lon) + F.lit(180.0)) / F.lit(360.0) * F.lit(width - 1)).cast("int")
+def image_pixel(lat: Column | str, lon: Column | str, height: int, width: int, extent: tuple[float, float, float, float] = (-180.0, 180.0, -90.0, 90.0)) -> tuple[Column, Column]:
+    """Row and column of an equirectangular image of extent (left, right, bottom, top), by truncation, kept inside it."""
+    left, right, bottom, top = map(float, extent)
+    r = ((F.lit(top) - geo.column(lat)) / F.lit(top - bottom) * F.lit(height - 1)).cast("int")
+    c = ((geo.column(lon) - F.lit(left)) / F.lit(right - left) * F.lit(width - 1)).cast("int")
     return F.greatest(F.lit(0), F.least(F.lit(height - 1), r)), F.greatest(F.lit(0), F.least(F.lit(width - 1), c))
 
 
+def image_values(df: DataFrame, image: DataFrame, height: int, width: int, lat: str = "lat", lon: str = "lon", extent: tuple[float, float, float, float] = (-180.0, 180.0, -90.0, 90.0)) -> DataFrame:
+    """df with red, green and blue of the pixel under lat, lon; image: image_row and rgb, an array of three a column."""
+    r, c = image_pixel(lat, lon, height, width, extent)
+    placed = df.withColumns({"image_row": r, "_c": c}).join(image.select("image_row", "rgb"), "image_row", "left")
+    part = lambda k: F.get("rgb", F.col("_c") * 3 + k)
+    return placed.withColumns({"red": part(0), "green": part(1), "blue": part(2)}).drop("image_row", "_c", "rgb")
+
+
 def scalar_columns(df: DataFrame) -> DataFrame:
     """Without arrays, structs and maps."""
     return df.select(*(f.name for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))))
@@ -128,7 +164,7 @@ def require(df: DataFrame, *columns: str) -> None:
 
 
 #: Names under which tables carry coordinates, the first found counting.
-LAT_NAMES, LON_NAMES = ("lat", "latitude", "Lat", "Latitude"), ("lon", "longitude", "Lon", "Longitude", "long")
+LAT_NAMES, LON_NAMES = ("lat", "latitude", "Lat", "Latitude", "LAT"), ("lon", "longitude", "Lon", "Longitude", "LON")
 
 
 def pick(df: DataFrame, names: tuple[str, ...], given: str | None = None) -> str:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ast
+import functools
 import glob
+import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -11,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -85,6 +88,26 @@ def read_npy(spark: SparkSession, path: str, rows: int = 512) -> DataFrame:
     return spark.read.format("npy").option("rows", rows).load(path)
 
 
+def read_chunks(spark: SparkSession, folder: str, meta: dict, rows: int = 512) -> DataFrame:
+    """The chunk files that a raster's metadata lists, each at its row_start: row and dn (raw numbers) or h (metres).
+
+    What a file is named says nothing of its place. Raises if the chunks don't cover all rows, or a file has another
+    shape than the metadata says.
+    """
+    from crestline.sources.raster import check_manifest
+
+    chunks, raw = meta["chunks"], meta.get("scale") is not None
+    check_manifest(spark.createDataFrame([(c["row_start"], c["row_end"]) for c in chunks], "row_start int, row_end int"), meta["shape"][0])
+    parts = []
+    for c in chunks:
+        path = os.path.join(folder, c["file"])
+        if (shape := header(path)[1]) != (c["row_end"] - c["row_start"], meta["shape"][1]):
+            raise ValueError(f"{path} has the shape {shape}, not that of rows {c['row_start']} to {c['row_end']} of {meta['shape']}")
+        parts.append(read_npy(spark, path, rows).withColumn("row", F.col("row") + c["row_start"]))
+    held = functools.reduce(DataFrame.unionByName, parts)
+    return held.select("row", F.col("h").cast("array<int>").alias("dn")) if raw else held
+
+
 def write_npy(rows: DataFrame, path: str, n_rows: int, n_cols: int, dtype: str = "float32") -> None:
     """A driver-side file, a row at a time."""
     out = np.lib.format.open_memmap(path, "w+", np.dtype(dtype), (n_rows, n_cols))

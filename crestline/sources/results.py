@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crestline.functions import geo
-from crestline.operators.summary import scalar_columns, with_polar_columns
+from crestline.operators.summary import require, scalar_columns, with_polar_columns
 from crestline.sources.raster import write_json_atomic
 
 _KINDS = {"int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "array<double>": T.ArrayType(T.DoubleType())}
@@ -43,20 +44,41 @@ def read_json(spark: SparkSession, path: str, row: T.StructType = STRIDED) -> Da
     return inside.unionByName(bare)
 
 
-def read_csv(spark: SparkSession, path: str, row: T.StructType = STRIDED, with_file: bool = False) -> DataFrame:
-    """Rows of one file or a pattern's files; empty fields are null; with_file names each row's file."""
-    held = spark.read.schema(row).option("header", True).option("nullValue", "").option("enforceSchema", True).csv(path)
-    return held.withColumn("file", F.col("_metadata.file_name")) if with_file else held
+#: The columns' types by name, whatever file they are in.
+_KNOWN = {f.name: f.dataType for row in (STRIDED, POLAR, BOX, GAIN_CUTS) for f in row}
+
+
+def _by_header(held: DataFrame, row: T.StructType | None, numbers: tuple[str, ...]) -> list[Column]:
+    """A CSV's columns, found by the names in its header: known ones and numbers cast, others left as text."""
+    if row is not None:
+        require(held, *row.fieldNames())
+    kinds = _KNOWN | dict.fromkeys(numbers, T.DoubleType())
+    out = []
+    for name in held.columns:
+        text, kind = F.col(f"`{name}`"), kinds.get(name)
+        number = text if kind is None else text.try_cast("double")
+        out.append((number if kind in (None, T.DoubleType()) else number.cast(kind)).alias(name))
+    return out
+
+
+def read_csv(spark: SparkSession, path: str, row: T.StructType | None = None, with_file: bool = False, numbers: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of one file, or of a pattern's files with one header; empty fields are null; with_file names each row's file.
+
+    All columns are kept, in the header's order; row names columns that must be there, numbers others to read as doubles.
+    """
+    held = spark.read.option("header", True).option("nullValue", "").option("enforceSchema", False).csv(path)
+    return held.select(*_by_header(held, row, numbers), *([F.col("_metadata.file_name").alias("file")] if with_file else []))
 
 
 def read_table(spark: SparkSession, path: str, row: T.StructType = STRIDED) -> DataFrame:
     """JSON or CSV by the file's ending; scalar columns only."""
-    return scalar_columns(read_json(spark, path, row)) if path.lower().endswith(".json") else read_csv(spark, path, row)
+    return scalar_columns(read_json(spark, path, row)) if path.lower().endswith(".json") else read_csv(spark, path)
 
 
 def read_gain_cuts(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with comment lines before its header."""
-    return spark.read.schema(GAIN_CUTS).option("comment", "#").option("header", True).csv(path)
+    held = spark.read.option("comment", "#").option("header", True).option("enforceSchema", False).csv(path)
+    return held.select(*_by_header(held, GAIN_CUTS, ()))
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -64,11 +86,17 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
 
-def guard(path: str, mode: str = "error", source: str | None = None) -> None:
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, in any file system that Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def guard(spark: SparkSession, path: str, mode: str = "error", source: str | None = None) -> None:
     """Refuses to write over the input, or over what is there, unless mode is 'overwrite' or 'resume'."""
     if source and os.path.abspath(source) == os.path.abspath(path):
         raise ValueError("the output would replace its input")
-    if mode == "error" and os.path.exists(path):
+    if mode == "error" and there(spark, path):
         raise FileExistsError(path)
 
 
@@ -99,7 +127,7 @@ def convert_all(spark: SparkSession, json_paths: list[str], row: T.StructType =
 def add_polar_columns(spark: SparkSession, path: str, output: str | None = None, **options) -> DataFrame:
     df = with_polar_columns(read_table(spark, path), **options)
     target = output or default_output(path, "_polar.csv")
-    guard(target, "overwrite", path)
+    guard(spark, target, "overwrite", path)
     write_csv(df, target, "overwrite")
     return df
 
@@ -116,6 +144,16 @@ def write_json(results: DataFrame, path: str, **head) -> None:
     write_json_atomic(path, head | {"completed": len(rows), "results": rows})
 
 
+def write_run_meta(spark: SparkSession, path: str, meta: dict) -> None:
+    """A run's metadata as one JSON file beside its results, in whatever file system they are; an earlier one is replaced."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(json.dumps(meta, indent=1).encode()))
+    finally:
+        out.close()
+
+
 def box_text(results: DataFrame) -> DataFrame:
     """A box scan's rows as text with each column's decimals; blank where there is none."""
     empty = lambda c: F.coalesce(c, F.lit(""))
@@ -124,7 +162,7 @@ def box_text(results: DataFrame) -> DataFrame:
 
 
 def write_box_csv(results: DataFrame, path: str, mode: str = "error") -> None:
-    guard(path, mode)
+    guard(results.sparkSession, path, mode)
     write_csv(box_text(results.orderBy("grid_row", "grid_col")), path, mode)
 
 

@@ -7,32 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.sources.results import remaining
+from crestline.operators.summary import numbered
+from crestline.sources.results import remaining, there
 
 Scan = Callable[[DataFrame], DataFrame]
 
 
 def in_slices(targets: DataFrame, scan: Scan, path: str, slice_size: int = 100_000, keys: tuple[str, ...] = ("target_id",)) -> DataFrame:
-    """Scans target_id's ranges one after the other and appends each to a Parquet table; finished targets are skipped.
+    """Scans slice_size targets after the other, in target_id's order, and appends each to a Parquet table; finished targets are skipped.
 
     An interrupted slice leaves nothing, by the writer's commit, and is done again by the next call.
     """
     spark = targets.sparkSession
     done = _held(spark, path)
     left = remaining(targets, done, *keys) if done is not None else targets
-    ends = left.agg(F.min("target_id").alias("lo"), F.max("target_id").alias("hi")).first()
-    if ends.lo is not None:
-        for k in range(ends.lo // slice_size, ends.hi // slice_size + 1):
-            part = left.where(F.col("target_id").between(k * slice_size, (k + 1) * slice_size - 1))
-            scan(part).write.mode("append").parquet(path)
+    placed = numbered(left, "target_id")
+    for k in range(-(-left.count() // slice_size)):
+        part = placed.where(F.col("place").between(k * slice_size, (k + 1) * slice_size - 1)).drop("place")
+        scan(part).write.mode("append").parquet(path)
     return spark.read.parquet(path) if _held(spark, path) is not None else scan(left)
 
 
 def _held(spark: SparkSession, path: str) -> DataFrame | None:
     """The table, if there is one."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return spark.read.parquet(path) if at.getFileSystem(conf).exists(at) else None
+    return spark.read.parquet(path) if there(spark, path) else None
 
 
 def stream_targets(spark: SparkSession, source: str, schema: str, scan: Scan, path: str, checkpoint: str, files_per_batch: int = 1) -> None:
