@@ -5,13 +5,18 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import time
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
 from crestline.functions.geo import Affine
 from crestline.operators import sample, summary
+from crestline.operators import targets as grids
+from crestline.operators.targets import probes
 from crestline.plans import scans
 from crestline.sources import npy, raster, results, tiff
+from crestline.streaming import incremental
 
 DIALECTS = {d.name: d for d in (sample.CLASSIC, sample.FULLRES, sample.REGION)}
 
@@ -21,7 +26,10 @@ def _dem(spark: SparkSession, base: str) -> raster.Dem:
 
 
 def _keep(dem: raster.Dem, base: str, **more) -> None:
-    (dem.chunked() if dem.rows_per_chunk else dem.rows).write.mode("overwrite").parquet(f"{base}/rows")
+    if dem.rows_per_chunk:
+        dem.chunked().write.mode("overwrite").partitionBy("chunk").parquet(f"{base}/rows")
+    else:
+        dem.rows.write.mode("overwrite").parquet(f"{base}/rows")
     raster.write_meta(f"{base}/meta.json", dem.meta(**more))
 
 
@@ -31,6 +39,10 @@ def ingest(spark: SparkSession, a: argparse.Namespace) -> None:
         seen = tiff.inspect(a.input)
         nodata = a.nodata if a.nodata is not None else seen["nodata"]
         dem = raster.ingest(tiff.read_tiff(spark, a.input), Affine(*(a.transform or seen["transform"])), *seen["shape"], a.scale, a.offset, nodata, not a.raw, a.chunk_mb)
+    elif a.input.endswith(".json"):  # metadata that lists chunk files beside it
+        meta = raster.read_meta(spark, a.input)
+        dem = raster.from_meta(npy.read_chunks(spark, os.path.dirname(os.path.abspath(a.input)), meta), meta)
+        dem = replace(dem, rows_per_chunk=dem.rows_per_chunk or raster.rows_per_chunk(dem.n_cols, 8, a.chunk_mb))
     else:
         rows = npy.read_npy(spark, a.input)
         n = rows.count()
@@ -44,7 +56,7 @@ def downsample(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def _save(df, a: argparse.Namespace) -> None:
-    results.guard(a.output, "overwrite" if a.overwrite else "error")
+    results.guard(df.sparkSession, a.output, "overwrite" if a.overwrite else "error")
     if a.output.endswith(".json"):
         results.write_json(df.drop("target_id"), a.output)
     elif a.output.endswith(".csv"):
@@ -53,22 +65,60 @@ def _save(df, a: argparse.Namespace) -> None:
         df.write.mode("overwrite" if a.overwrite else "errorifexists").parquet(a.output)
 
 
+def _run(spark: SparkSession, a: argparse.Namespace, dem: raster.Dem, targets, scan, **settings) -> None:
+    """A scan from targets to output: what a few probes cost, slices that a later call resumes, metadata, a summary.
+
+    With --resume the results are a Parquet table, to which finished slices are appended; what is there isn't scanned
+    again. Ctrl-C between or within slices loses the slice that was on its way.
+    """
+    total = targets.count()
+    if a.probe and total:
+        few = probes(targets, a.probe)
+        began = time.perf_counter()
+        n = few.count()
+        scan(few).count()
+        each = (time.perf_counter() - began) / max(1, n)
+        print(f"{n} probes took {each * 1000:.1f} ms a target; {total} targets take at most {each * total / 60:.1f} min")
+    if a.resume:
+        held = incremental.in_slices(targets, scan, a.output, a.slice)
+    else:
+        _save(scan(targets), a)
+        held = None
+    meta = scans.run_meta(dem, total, radius_km=a.radius, azimuths=a.azimuths, **settings)
+    results.write_run_meta(spark, a.output + ".meta.json", meta)
+    if held is not None and "worst_angle_deg" in held.columns:
+        summary.summary(held, "worst_angle_deg", "best_angle_deg").show(truncate=False)
+
+
 def grid(spark: SparkSession, a: argparse.Namespace) -> None:
-    _save(scans.scan_grid(_dem(spark, a.dem), a.stride, a.lat_max, DIALECTS[a.dialect], max_radius_km=a.radius, n_azimuths=a.azimuths, full_profile=a.full_profile), a)
+    dem = _dem(spark, a.dem)
+    targets = grids.strided(spark, dem.transform, dem.n_rows, dem.n_cols, a.stride, a.lat_max)
+    run = lambda t: scans.scan(t, dem, DIALECTS[a.dialect], a.radius, a.azimuths, full_profile=a.full_profile)
+    _run(spark, a, dem, targets, run, command="grid", stride=a.stride, lat_max=a.lat_max, dialect=a.dialect)
 
 
 def polar(spark: SparkSession, a: argparse.Namespace) -> None:
-    _save(scans.scan_polar(_dem(spark, a.dem), a.spacing, a.lat_max, tuple(a.region) if a.region else None, max_radius_km=a.radius, n_azimuths=a.azimuths), a)
+    dem = _dem(spark, a.dem)
+    targets = scans.with_pixel(grids.polar_grid(spark, a.spacing, a.lat_max, tuple(a.region) if a.region else None), dem)
+    run = lambda t: scans.scan(t, dem, sample.FULLRES, a.radius, a.azimuths)
+    _run(spark, a, dem, targets, run, command="polar", spacing_km=a.spacing, lat_max=a.lat_max, region=a.region)
 
 
 def box(spark: SparkSession, a: argparse.Namespace) -> None:
-    dem = _dem(spark, a.dem)
+    dem, dialect = _dem(spark, a.dem), DIALECTS[a.dialect]
     print(scans.resolution_note(dem, a.spacing))
-    found = scans.scan_box(dem, *a.lat, *a.lon, a.spacing, a.grid, DIALECTS[a.dialect], a.radius, a.elevation_only, **({} if a.elevation_only else {"n_azimuths": a.azimuths, "step_km": a.step}))
-    if a.output.endswith(".csv") and not a.elevation_only:
-        results.write_box_csv(found, a.output, "overwrite" if a.overwrite else "error")
+    settings = {"command": "box", "lat": a.lat, "lon": a.lon, "spacing_km": a.spacing, "grid": a.grid, "dialect": a.dialect}
+    if a.elevation_only:
+        _save(scans.scan_box(dem, *a.lat, *a.lon, a.spacing, a.grid, dialect, a.radius, True), a)
+        return
+    targets, held = scans.box_targets(dem, *a.lat, *a.lon, a.spacing, a.grid, dialect, a.radius)
+    run = lambda t: scans.scan(t, held, dialect, a.radius, a.azimuths, a.step)
+    if a.output.endswith(".csv") and not a.resume:
+        results.write_box_csv(run(targets), a.output, "overwrite" if a.overwrite else "error")
+        results.write_run_meta(spark, a.output + ".meta.json", scans.run_meta(dem, targets.count(), radius_km=a.radius, azimuths=a.azimuths, **settings))
+        summary.summary(results.read_csv(spark, a.output), "worst_angle_deg", "best_angle_deg").show(truncate=False)
     else:
-        _save(found, a)
+        _run(spark, a, dem, targets, run, **settings)
 
 
 def point(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -87,11 +137,14 @@ def to_csv(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def polar_columns(spark: SparkSession, a: argparse.Namespace) -> None:
-    results.add_polar_columns(spark, a.input, a.output, centre_lon=a.centre_lon, mirror=a.mirror, max_lat=a.max_lat, overwrite=a.overwrite)
+    results.add_polar_columns(spark, a.input, a.output, lat=a.lat_col, lon=a.lon_col, centre_lon=a.centre_lon, mirror=a.mirror, max_lat=a.max_lat, overwrite=a.overwrite)
 
 
 def histogram(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = results.read_csv(spark, a.input, with_file=True)
+    rows = results.read_csv(spark, a.input, with_file=True, numbers=(a.column,))
+    if a.column not in rows.columns or summary.drop_unknown(rows, a.column).isEmpty():
+        print(f"skipped {a.input}: no values of {a.column}; there are {rows.columns}")
+        return
     summary.histogram(rows, a.column, a.bins, "file").orderBy("file", "bin").show(10_000, False)
     summary.run_stats(rows, a.column, "file").show(truncate=False)
 
@@ -115,6 +168,9 @@ def parser() -> argparse.ArgumentParser:
         if rays:
             p.add_argument("--radius", type=float, default=500.0)
             p.add_argument("--azimuths", type=int, default=360)
+            p.add_argument("--resume", action="store_true", help="append finished slices to a Parquet table, and go on where it ends")
+            p.add_argument("--slice", type=int, default=100_000, help="targets between two commits")
+            p.add_argument("--probe", type=int, default=0, help="targets to time first")
         if dialect:
             p.add_argument("--dialect", choices=DIALECTS, default=dialect)
         return p
@@ -159,6 +215,8 @@ def parser() -> argparse.ArgumentParser:
     p = add(polar_columns)
     p.add_argument("input")
     p.add_argument("--output")
+    p.add_argument("--lat-col")
+    p.add_argument("--lon-col")
     p.add_argument("--centre-lon", type=float, default=0.0)
     p.add_argument("--mirror", action="store_true")
     p.add_argument("--max-lat", type=float, default=0.0)

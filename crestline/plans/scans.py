@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,24 +46,30 @@ def scan_grid(dem: Dem, stride: int = 20, lat_max: float | None = None, dialect:
 
 def scan_polar(dem: Dem, spacing_km: float, lat_max: float | None = None, region: tuple[float, float, float] | None = None, **options) -> DataFrame:
     """A regular grid in the south-polar plane; row and col name the raw floor pixel, without wrap or clamp."""
-    cells = grids.polar_grid(dem.rows.sparkSession, spacing_km, lat_max, region)
-    return scan(_with_pixel(cells, dem), dem, FULLRES, **options)
+    return scan(with_pixel(grids.polar_grid(dem.rows.sparkSession, spacing_km, lat_max, region), dem), dem, FULLRES, **options)
 
 
-def _with_pixel(cells: DataFrame, dem: Dem) -> DataFrame:
+def with_pixel(cells: DataFrame, dem: Dem) -> DataFrame:
     row, col = geo.floor_pixel(*geo.projected("lon", "lat"), dem.transform)
     return cells.withColumns({"row": row.cast("int"), "col": col.cast("int")})
 
 
+def box_targets(dem: Dem, lat0: float, lat1: float, lon0: float, lon1: float, spacing_km: float = 0.5, mode: str = "exact", dialect: Dialect = REGION, max_radius_km: float = 500.0) -> tuple[DataFrame, Dem]:
+    """A box's cells, and the part of the raster that their rays can reach; 0 km leaves what lies under the box."""
+    (south, north), (west, east) = sorted((lat0, lat1)), sorted((lon0, lon1))
+    cells = with_pixel(grids.box_grid(dem.rows.sparkSession, south, north, west, east, spacing_km, mode), dem)
+    if dialect is not REGION:
+        return cells, dem
+    reach = geo.scan_window(south, north, west, east, max_radius_km) if max_radius_km else (south - 0.5, north + 0.5, west - 0.5, east + 0.5)
+    return cells, dem.part(*reach)
+
+
 def scan_box(dem: Dem, lat0: float, lat1: float, lon0: float, lon1: float, spacing_km: float = 0.5, mode: str = "exact", dialect: Dialect = REGION, max_radius_km: float = 500.0, elevation_only: bool = False, **options) -> DataFrame:
     """A box at a ground spacing; only the raster's rows and columns that its rays can reach are read."""
-    lat0, lat1, lon0, lon1 = min(lat0, lat1), max(lat0, lat1), min(lon0, lon1), max(lon0, lon1)
-    cells = grids.box_grid(dem.rows.sparkSession, lat0, lat1, lon0, lon1, spacing_km, mode)
+    cells, held = box_targets(dem, lat0, lat1, lon0, lon1, spacing_km, mode, dialect, 0.0 if elevation_only else max_radius_km)
     if elevation_only:
-        held = dem.part(lat0 - 0.5, lat1 + 0.5, lon0 - 0.5, lon1 + 0.5) if dialect is REGION else dem
-        return sample(_with_pixel(cells, dem), held, dialect).where("h_target is not null")
-    held = dem.part(*geo.scan_window(lat0, lat1, lon0, lon1, max_radius_km)) if dialect is REGION else dem
-    return scan(_with_pixel(cells, dem), held, dialect, max_radius_km, **options)
+        return sample(cells, held, dialect).where("h_target is not null")
+    return scan(cells, held, dialect, max_radius_km, **options)
 
 
 def horizon_mask(spark: SparkSession, dem: Dem, lat: float, lon: float, max_radius_km: float = 50.0, n_azimuths: int = 360, dialect: Dialect = CLASSIC, strategy: str = "auto") -> DataFrame:
@@ -85,10 +89,7 @@ def resolution_note(dem: Dem, spacing_km: float) -> str:
     return f"{each:.2f} targets a pixel of {dem.pixel_km:.3f} km" + ("; finer than the raster, no new terrain" if each > 1 else "")
 
 
-def run_meta(dem: Dem, targets: DataFrame, **settings) -> dict:
-    """What names a run, for its metadata file."""
-    return settings | {"dem_pixel_km": dem.pixel_km, "targets": targets.count()}
-
-
-def estimated_bytes(n_rows: int, n_cols: int, item_bytes: int) -> int:
-    return math.prod((n_rows, n_cols, item_bytes))
+def run_meta(dem: Dem, n_targets: int, **settings) -> dict:
+    """What names a run, for its metadata file: its settings, and the raster that it read."""
+    t = dem.transform
+    return {"version": 1} | settings | {"targets": n_targets, "dem": {"shape": [dem.n_rows, dem.n_cols], "pixel_km": dem.pixel_km, "transform": [t.a, t.b, t.c, t.d, t.e, t.f], "decoded_bytes": dem.n_rows * dem.n_cols * 8}}

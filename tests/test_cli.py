@@ -1,3 +1,4 @@
+import json
 import math
 import struct
 
@@ -79,3 +80,24 @@ def test_commands(spark, picture, capsys):
         main(["polar", at("dem"), at("polar"), "--spacing", "400"], spark)
     with pytest.raises(SystemExit):
         main(["to-csv", "a", "b", "--output", "c"], spark)
+
+
+def test_runs_resume(spark, picture, capsys):
+    """A run in slices goes on where it ended; metadata, what probes cost and a summary come with it."""
+    at = lambda x: str(picture[0].parent / x)
+    main(["ingest", str(picture[0]), at("dem"), "--scale", "0.5", "--raw", "--chunk-mb", "0.001"], spark)
+    assert spark.read.parquet(at("dem/rows")).where("chunk = 1").count() > 0 and any(x.name == "chunk=1" for x in (picture[0].parent / "dem/rows").iterdir())
+    box = ["box", at("dem"), at("run"), "--lat", "-6", "4", "--lon", "0", "9", "--spacing", "50", "--radius", "60", "--azimuths", "4", "--resume", "--slice", "11"]
+    main([*box, "--probe", "2"], spark)
+    said = capsys.readouterr().out
+    assert "2 probes took" in said and "v_p95" in said
+    n = spark.read.parquet(at("run")).count()
+    files = len(spark.read.parquet(at("run")).inputFiles())
+    main(box, spark)
+    held = spark.read.parquet(at("run"))
+    assert held.count() == n == held.select("target_id").distinct().count() and len(held.inputFiles()) == files > 1
+    meta = json.loads((picture[0].parent / "run.meta.json").read_text())
+    assert meta["targets"] == n and meta["command"] == "box" and meta["dem"]["shape"] == [36, 72]
+    (picture[0].parent / "few.csv").write_text("a,b\n1,\n")
+    main(["histogram", at("few.csv"), "--column", "b"], spark)
+    assert "skipped" in capsys.readouterr().out
