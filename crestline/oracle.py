@@ -163,13 +163,14 @@ def _text(c: str, digits: int) -> str:
 
 
 def _azimuth_text(c: str) -> str:
-    return f"coalesce(case when {c} = floor({c}) then cast(cast({c} as bigint) as varchar) else rtrim(printf('%.6f', {c}), '0') end, '')"
+    return f"coalesce(case when {c} = floor({c}) then cast(cast({c} as bigint) as varchar) else printf('%g', {c}) end, '')"
 
 
 def oracle_sql() -> dict[str, str]:
     found = {
         "horizon_scan_fullres": _FULLRES,
         "horizon_scan_sql": _FULLRES,
+        "horizon_scan_tiles": _FULLRES,
         "incremental_scan": _FULLRES,
         "horizon_scan_classic": _CLASSIC,
         "horizon_scan_classic_sql": _CLASSIC,
@@ -215,8 +216,15 @@ select id, round(x, 6) as x_km, round(y, 6) as y_km, round(rho, 6) as rho_km, ro
         "shaded_values": f"with {_DEM}, {_RES}, m as (select min(worst_angle_deg) as lo, max(worst_angle_deg) as hi from res) select row, col, round((worst_angle_deg - lo) / (hi - lo), 9) as shade from res, m",
         "image_pixels": f"with {_PTS} select id, greatest(0, least(180, cast(trunc((90.0::double - lat) / 180.0::double * 180) as int))) as image_row, greatest(0, least(360, cast(trunc((lon + 180.0::double) / 360.0::double * 360) as int))) as image_col from pts",
         "results_json_roundtrip": f"with {_DEM}, {_RES} select (select count(*) from res) as completed, row, col, round(lat, 8) as lat, round(lon, 8) as lon, h_target, worst_azimuth, worst_angle_deg, best_azimuth, best_angle_deg from res",
+        "results_json_list": f"with {_DEM}, {_RES} select row, col, round(lat, 8) as lat, round(lon, 8) as lon, h_target, worst_azimuth, worst_angle_deg, best_azimuth, best_angle_deg from res",
+        "results_polar_csv": f"""with {_DEM}, {_RES}, q as (select *, 2.0::double*{RKM}*tan(radians(90.0::double + lat) / 2.0::double) as rho from res)
+select row, col, round(rho*sin(radians(lon)), 6) as x_km, round(rho*cos(radians(lon)), 6) as y_km, worst_azimuth, round(worst_angle_deg, 9) as worst_angle_deg, round(best_angle_deg, 9) as best_angle_deg, run from q""",
+        "results_box_csv": f"""with {_DEM}, {_RES}, q as (select *, row % 4 != 0 as shown from res) select cast(row // 50 as int) as grid_row, cast(col // 8 as int) as grid_col, row, col, round(lat, 8) as lat, round(lon, 8) as lon, round(h_target, 2) as h_target,
+case when shown then worst_azimuth end as worst_azimuth, case when shown then round(worst_angle_deg, 6) end as worst_angle_deg, case when shown then best_azimuth end as best_azimuth, case when shown then round(best_angle_deg, 6) end as best_angle_deg from q""",
+        "image_colours": f"""with {_PTS}, q as (select id, greatest(0, least(60, cast(trunc((60.0::double - lat) / 120.0::double * 60) as int))) as r, greatest(0, least(120, cast(trunc((lon + 90.0::double) / 180.0::double * 120) as int))) as c from pts)
+select id, (r*31 + c*21) % 256 as red, (r*31 + c*21 + 7) % 256 as green, (r*31 + c*21 + 14) % 256 as blue from q""",
         "region_csv_format": f"""with {_DEM}, {_RES}, q as (select *, row % 4 != 0 as shown from res) select cast(row // 50 as varchar) as grid_row, cast(col // 8 as varchar) as grid_col, cast(row as varchar) as row, cast(col as varchar) as col, {_text('lat', 8)} as lat, {_text('lon', 8)} as lon, {_text('h_target', 2)} as h_target,
-case when shown then {_azimuth_text('worst_azimuth')} else '' end as worst_azimuth, case when shown then {_text('worst_angle_deg', 6)} else '' end as worst_angle_deg, case when shown then {_azimuth_text('(best_azimuth / 4.0::double)')} else '' end as best_azimuth, case when shown then {_text('best_angle_deg', 6)} else '' end as best_angle_deg from q""",
+case when shown then {_azimuth_text('worst_azimuth')} else '' end as worst_azimuth, case when shown then {_text('worst_angle_deg', 6)} else '' end as worst_angle_deg, case when shown then {_azimuth_text('(best_azimuth / 7.0::double)')} else '' end as best_azimuth, case when shown then {_text('best_angle_deg', 6)} else '' end as best_angle_deg from q""",
         "resume_anti_join": f"with {_DEM}, {_RES} select cast(row as int) as row, cast(col as int) as col from cell where not exists (select 1 from res where res.row = cell.row and res.col = cell.col and run = 0)",
         "probe_targets": f"with {_DEM}, {_targets(50)}, n as (select row, col, row_number() over (order by row, col) - 1 as place, count(*) over () as n from cell) select cast(row as int) as row, cast(col as int) as col from n where place in (select distinct cast(floor(i*(n - 1) / 7) as bigint) from (select unnest(generate_series(0, 7)) as i) s, (select distinct n from n) c)",
     }

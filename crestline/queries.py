@@ -106,6 +106,12 @@ def horizon_scan_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scan_columns(scans.scan(_strided(spark, d), d, FULLRES, 500, 36, strategy="sql"))
 
 
+def horizon_scan_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scan as rasters take that are too large to be broadcast."""
+    d = dem(spark, sf_dir)
+    return _scan_columns(scans.scan(_strided(spark, d), d, FULLRES, 500, 36, strategy="tiles"))
+
+
 def horizon_scan_classic(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dem(spark, sf_dir)
     return _scan_columns(scans.scan(_strided(spark, d), d, CLASSIC, 300, 36))
@@ -319,7 +325,44 @@ def results_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def region_csv_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _results(spark, sf_dir).withColumns({"grid_row": F.expr("cast(row div 50 as int)"), "grid_col": F.expr("cast(col div 8 as int)")})
     blank = {c: F.when(F.col("row") % 4 != 0, F.col(c)) for c in ("worst_azimuth", "worst_angle_deg", "best_azimuth", "best_angle_deg")}
-    return results.box_text(held.withColumns(blank).withColumn("best_azimuth", F.col("best_azimuth") / 4.0))
+    return results.box_text(held.withColumns(blank).withColumn("best_azimuth", F.col("best_azimuth") / 7.0))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/crestline-{name}-{uuid.uuid4().hex}"
+
+
+def results_polar_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results with the polar plane's columns among them as CSV, and read back by the header's names."""
+    x, y, _, _ = geo.polar("lat", "lon", max_lat=90.0)
+    held = _results(spark, sf_dir).select("row", "col", "lat", "lon", "h_target", x.alias("x_km"), y.alias("y_km"), "worst_azimuth", "worst_angle_deg", "best_azimuth", "best_angle_deg", "run")
+    path = _folder(spark, "polar-csv")
+    results.write_csv(held, path)
+    back = results.read_csv(spark, path, results.POLAR, numbers=("run",))
+    return _rounded(back.select("row", "col", "x_km", "y_km", "worst_azimuth", "worst_angle_deg", "best_angle_deg", F.col("run").cast("int").alias("run")), x_km=6, y_km=6, worst_angle_deg=9, best_angle_deg=9)
+
+
+def results_json_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results as a bare JSON list in files, and read back."""
+    path = _folder(spark, "json-list")
+    held = _results(spark, sf_dir).drop("run")
+    held.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*held.columns)))).alias("value")).write.text(path)
+    return _rounded(results.read_json(spark, path).drop("full_profile_deg"), lat=8, lon=8)
+
+
+def results_box_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box scan's CSV, with its blank fields, read back."""
+    held = _results(spark, sf_dir).withColumns({"grid_row": F.expr("cast(row div 50 as int)"), "grid_col": F.expr("cast(col div 8 as int)")})
+    blank = {c: F.when(F.col("row") % 4 != 0, F.col(c)) for c in ("worst_azimuth", "worst_angle_deg", "best_azimuth", "best_angle_deg")}
+    path = _folder(spark, "box-csv")
+    results.write_box_csv(held.withColumns(blank), path)
+    return results.read_csv(spark, path, results.BOX)
+
+
+def image_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The colours of a picture of 61 x 121 pixels, of half the globe, under points."""
+    rows = spark.range(61).select(F.col("id").cast("int").alias("image_row"), F.transform(F.sequence(F.lit(0), F.lit(362)), lambda k: F.pmod(F.col("id").cast("int") * 31 + k * 7, F.lit(256))).alias("rgb"))
+    return summary.image_values(_points(spark, sf_dir).select("id", "lat", "lon"), rows, 61, 121, extent=(-90.0, 90.0, -60.0, 60.0)).select("id", "red", "green", "blue")
 
 
 def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,10 +386,10 @@ def blank_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL = (
-    horizon_scan_fullres, horizon_scan_sql, horizon_scan_classic, horizon_scan_classic_sql, horizon_profile_point, horizon_full_profile, horizon_scan_box, horizon_elevation_only, horizon_scan_polar, horizon_regional_dem, incremental_scan,
+    horizon_scan_fullres, horizon_scan_sql, horizon_scan_tiles, horizon_scan_classic, horizon_scan_classic_sql, horizon_profile_point, horizon_full_profile, horizon_scan_box, horizon_elevation_only, horizon_scan_polar, horizon_regional_dem, incremental_scan,
     dem_sample_points, dem_sample_classic, dem_decode_nodata, dem_downsample_max, dem_downsample_avg, dem_downsample_nearest, dem_downsample_stride, dem_ingest, dem_chunk_lookup, dem_window,
     pixel_centers, geodesic_destinations, distance_schedule, stride_grid_lat_cap, polar_cap_grid, polar_region_grid, box_grid_exact, box_grid_rect, polar_columns, column_alias_pick, cartesian_xyz, cloud_bounds,
-    surface_grid, surface_missing, angle_summary, angle_histogram, angle_histogram_by_run, run_stats, shaded_values, image_pixels, results_json_roundtrip, region_csv_format, resume_anti_join, probe_targets, blank_rays,
+    surface_grid, surface_missing, angle_summary, angle_histogram, angle_histogram_by_run, run_stats, shaded_values, image_pixels, image_colours, results_json_roundtrip, results_json_list, results_polar_csv, results_box_csv, region_csv_format, resume_anti_join, probe_targets, blank_rays,
 )
 
 
