@@ -130,6 +130,31 @@ def _pool(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return best, place
 
 
+def _example(m: Model, rows_of: np.ndarray, ids: np.ndarray, y: float, weight: float, g_fil: np.ndarray, g_shift: np.ndarray, g_w: np.ndarray) -> tuple[float, list[np.ndarray], list[np.ndarray]]:
+    """The gradient of weight times the cross-entropy of one text, ids being its words and rows_of their embedding rows.
+
+    Adds to g_fil, g_shift and g_w; returns the bias's, and the embedding rows of the words under pooled values with theirs.
+    """
+    different, inverse = np.unique(ids, return_inverse=True)
+    emb = m.embedding[rows_of[different]].sum(1)
+    projected = (emb @ m.filters.transpose(1, 0, 2).reshape(SIZE, -1)).reshape(-1, len(_TABLES), FILTERS)
+    best, place = _pool(_convolve(projected[inverse], m.shift))
+    x = np.append(best.ravel(), np.log1p(len(ids)))
+    d = (1 / (1 + np.exp(-np.clip(x @ m.weights + m.bias, -30, 30))) - y) * weight
+    g_w += d * x
+    d_pool = (d * m.weights[:-1]).reshape(best.shape) * (best > 0)
+    spots, grads = [], []
+    for table, (k, j) in enumerate(_TABLES):
+        top, f = np.nonzero(d_pool[k])
+        g, w = d_pool[k][top, f], ids[place[k][top, f] + j]
+        np.add.at(g_fil[table].T, f, g[:, None] * m.embedding[rows_of[w]].sum(1))
+        spots.append(rows_of[w])
+        grads.append(g[:, None] * m.filters[table].T[f])
+        if j == 0:
+            np.add.at(g_shift[k], f, g)
+    return d, spots, grads
+
+
 def train(texts: list[bytes], labels: list[int], langs: list[str | None], seed: int = 5) -> Model:
     """Fits the network by Adagrad; every CALIBRATE-th text sets the languages' thresholds only."""
     rng = np.random.default_rng(seed)
@@ -149,26 +174,10 @@ def train(texts: list[bytes], labels: list[int], langs: list[str | None], seed:
         for at in range(0, len(order), BATCH):
             used, g_emb, g_fil, g_shift, g_w, g_b = [], [], np.zeros_like(m.filters), np.zeros_like(m.shift), np.zeros_like(m.weights), 0.0
             for i in order[at : at + BATCH]:
-                ids = coded[i]
-                different, inverse = np.unique(ids, return_inverse=True)
-                emb = m.embedding[rows_of[different]].sum(1)
-                projected = (emb @ m.filters.transpose(1, 0, 2).reshape(SIZE, -1)).reshape(-1, len(_TABLES), FILTERS)
-                best, place = _pool(_convolve(projected[inverse], m.shift))
-                x = np.append(best.ravel(), np.log1p(len(ids)))
-                p = 1 / (1 + np.exp(-np.clip(x @ m.weights + m.bias, -30, 30)))
-                d = (p - y[i]) * weight[i] / BATCH
-                g_w += d * x
+                d, spots, grads = _example(m, rows_of, coded[i], y[i], weight[i] / BATCH, g_fil, g_shift, g_w)
                 g_b += d
-                d_pool = (d * m.weights[:-1]).reshape(best.shape) * (best > 0)
-                for table, (k, j) in enumerate(_TABLES):
-                    top, f = np.nonzero(d_pool[k])
-                    g, w = d_pool[k][top, f], ids[place[k][top, f] + j]
-                    e = m.embedding[rows_of[w]].sum(1)
-                    np.add.at(g_fil[table].T, f, g[:, None] * e)
-                    used.append(rows_of[w])
-                    g_emb.append(g[:, None] * m.filters[table].T[f])
-                    if j == 0:
-                        np.add.at(g_shift[k], f, g)
+                used += spots
+                g_emb += grads
             if used:
                 spots = np.concatenate(used)
                 flat, grad = spots.ravel(), np.repeat(np.concatenate(g_emb), spots.shape[1], axis=0)
