@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
 import base64
+import math
 import os
 import random
 import string
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crestline.llm import chat, decontam, dedup, langid, licenses, urls
+from crestline.llm import chat, decontam, dedup, langid, licenses, toxicity, urls
 from crestline.llm.common import remove_written, written
 from tests.llm.test_brute import components, shingle_set
 
@@ -173,3 +174,83 @@ def test_long_conversations_cross_blocks(spark):
 def test_intermediate_tables_are_removed(spark):
     path = written(spark.range(3), "kept").inputFiles()[0].removeprefix("file:")
     assert os.path.exists(path) and remove_written(spark) > 0 and not os.path.exists(path) and remove_written(spark) == 0
+
+
+def toxic_model(seed=0):
+    rng = np.random.default_rng(seed)
+    draw = lambda *shape: rng.standard_normal(shape)
+    t, n = toxicity, len(toxicity.WIDTHS)
+    return t.Model(draw(t.ROWS, t.SIZE), draw(len(t._TABLES), t.SIZE, t.FILTERS) * 0.2, draw(n, t.FILTERS), draw(n * t.TOP * t.FILTERS + 1) * 0.3, -0.2)
+
+
+def test_toxicity_by_a_plain_forward_pass():
+    m = toxic_model()
+    texts = ["", "one", "a b c d", "The same, the same; THE SAME words " * 9, "x" * 5000, "über 12 straße 😀 ok"]
+    for text, got in zip(texts, toxicity._Scorer(m).logits([t.encode() for t in texts])[0]):
+        words = toxicity.words_of(text.encode())
+        emb = [sum(m.embedding[r] for r in toxicity.buckets(w)) for w in words]
+        pooled, table = [], 0
+        for k, width in enumerate(toxicity.WIDTHS):
+            best = []
+            for f in range(toxicity.FILTERS):
+                values = sorted((max(0.0, m.shift[k, f] + sum(emb[i + j] @ m.filters[table + j][:, f] for j in range(width))) for i in range(len(words) - width + 1)), reverse=True)
+                best.append((values + [0.0] * toxicity.TOP)[: toxicity.TOP])
+            pooled += [best[f][top] for top in range(toxicity.TOP) for f in range(toxicity.FILTERS)]
+            table += width
+        assert got == pytest.approx(np.dot(pooled, m.weights[:-1]) + math.log1p(len(words)) * m.weights[-1] + m.bias, rel=1e-4, abs=1e-4)
+
+
+def test_toxicity_gradients():
+    """Each part's gradient against finite differences of the loss."""
+    m, words = toxic_model(3), [f"w{k}".encode() for k in range(12)]
+    rows_of, ids = np.array([toxicity.buckets(w) for w in words]), np.array([0, 3, 5, 3, 7, 1, 1, 9, 11, 2])
+
+    def loss(y):
+        table = (m.embedding[rows_of].sum(1) @ m.filters.transpose(1, 0, 2).reshape(toxicity.SIZE, -1)).reshape(-1, len(toxicity._TABLES), toxicity.FILTERS)
+        pooled = toxicity._pool(toxicity._convolve(table[ids], m.shift))[0].astype(float)
+        p = 1 / (1 + math.exp(-(np.append(pooled.ravel(), math.log1p(len(ids))) @ m.weights + m.bias)))
+        return -1.7 * math.log(p if y else 1 - p)
+
+    for y in (0, 1):
+        parts = [np.zeros_like(p) for p in (m.filters, m.shift, m.weights)]
+        d, spots, grads = toxicity._example(m, rows_of, ids, y, 1.7, *parts)
+        emb = np.zeros_like(m.embedding)
+        for at, g in zip(spots, grads):
+            np.add.at(emb, at.ravel(), np.repeat(g, at.shape[1], axis=0))
+        for p, g in zip((m.filters, m.shift, m.weights, m.embedding), [*parts, emb]):
+            for k in np.argsort(-np.abs(g).ravel())[:6]:
+                at, old, h = np.unravel_index(k, p.shape), p.ravel()[k], 1e-3
+                p[at] = old + h
+                up = loss(y)
+                p[at] = old - h
+                down = loss(y)
+                p[at] = old
+                assert (up - down) / (2 * h) == pytest.approx(g[at], rel=0.03, abs=1e-3)
+        bias = m.bias
+        m.bias = bias + 1e-3
+        up = loss(y)
+        m.bias = bias - 1e-3
+        assert (up - loss(y)) / 2e-3 == pytest.approx(d, rel=0.02, abs=1e-4)
+        m.bias = bias
+
+
+def test_languages_by_a_plain_recurrence():
+    """A document's sums against the recurrence written out, byte by byte."""
+    m = langid.train([b"the quick brown fox jumps over the lazy dog and then sleeps some"[:64]] * 2 + [b"le renard brun saute par dessus le chien puis il dort encore un pe"[:64]] * 2, ["en", "en", "fr", "fr"], steps=4)
+    sig, n = (lambda v: 1 / (1 + np.exp(-v))), langid.UNITS
+    for text in (b"a", b"hello there", b"un chien dort " * 11):
+        total = np.zeros(2)
+        for k in range(0, len(text), langid.SEGMENT):
+            part, states = text[k : k + langid.SEGMENT], []
+            for way, data in enumerate((part, part[::-1])):
+                h, seen = np.zeros(n), []
+                for byte in data:
+                    x, u = m.x[way, byte].astype(float), m.u[way].astype(float)
+                    z, r = sig(x[:n] + h @ u[:, :n]), sig(x[n : 2 * n] + h @ u[:, n : 2 * n])
+                    h = h + z * (np.tanh(x[2 * n :] + (r * h) @ u[:, 2 * n :]) - h)
+                    seen.append(h)
+                states.append(seen if way == 0 else seen[::-1])
+            for a, b in zip(*states):
+                e = np.exp(np.concatenate([a, b]) @ m.out + m.bias)
+                total += e / e.sum()
+        assert langid.document_sums(m, [text])[0] == pytest.approx(total, rel=1e-3, abs=1e-3)
