@@ -5,6 +5,8 @@ from __future__ import annotations
 import contextlib
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,44 @@ def remove_written(spark: SparkSession) -> int:
     return len(paths)
 
 
+#: Words whose hashes a worker keeps.
+WORDS = 200_000
+
+
+class Words(dict):
+    """64-bit hashes of words, some of which are kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        return got
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    u = np.uint64
+    x = x ^ (x >> u(33))
+    x = x * u(0xFF51AFD7ED558CCD)
+    x ^= x >> u(33)
+    x = x * u(0xC4CEB9FE1A85EC53)
+    x ^= x >> u(33)
+    return x
+
+
+def bitmap(rows: DataFrame, place: Column, n_bits: int) -> bytes:
+    """n_bits bits, of which those at the rows' places (from 0) are set; put together on executors, n_bits / 8 bytes on the driver."""
+    held = rows.select((place + 1).alias("k"))  # positions count from 1
+    maps = held.groupBy(F.bitmap_bucket_number("k").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("bits"))
+    bits = bytearray(n_bits // 8 + (1 << 12))
+    for bucket, some in maps.toLocalIterator():  # a bounded number of bounded bitmaps
+        at = (bucket - 1) * len(some)
+        bits[at : at + len(some)] = bytes(some)
+    return bytes(bits)
+
+
 def remainder(column: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % F.lit(n)

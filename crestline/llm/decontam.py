@@ -2,8 +2,10 @@
 
 The items' normalised words form one generalised suffix automaton. A document's words run through it once while
 the length of the longest match that ends at each word is tracked; a match of at least a window's length marks
-the words under the window. The automaton is broadcast in parts of at most SHARD_CHARS characters of item text:
-a larger benchmark is passed part by part, with the hits so far carried along.
+the words under the window. The automaton is broadcast in parts of at most SHARD_CHARS characters of item text.
+A benchmark of one part takes one pass over the documents. For a larger one a bitmap of the hashes of all windows sifts
+the documents first: only those with a word sequence that it lets through are written, and scanned part by part with
+the hits so far carried along. The bitmap lets no hit go; what it lets through wrongly costs time alone.
 
 Null texts have no words; a document or item without words is never hit and hits nothing. Items with a null id
 hit, but aren't listed. Repeated ids of items count once; repeated rows of documents are each scanned. An empty
@@ -21,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from crestline.llm.common import arrow_limits, binary_text, narrow, tidied, written
+from crestline.llm.common import Words, arrow_limits, binary_text, bitmap, mix, narrow, tidied, written
 
 #: Words of a window.
 WINDOW = 10
@@ -32,6 +35,8 @@ MAX_COVERAGE = 0.5
 SHARD_CHARS = 1_000_000
 #: Slots of the bitmap of adjacent item words.
 BIGRAM_SLOTS = 1 << 22
+#: Bits of the bitmap that sifts documents (32 MB), and how many a window sets.
+SIEVE_BITS, SIEVE_HASHES = 1 << 28, 3
 
 _SPACE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -191,6 +196,77 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _sequences(h: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of these sizes, in ascending order, the hashes of all sequences of so many words."""
+    s = np.zeros(len(h) + 1, np.uint64)
+    for m in range(1, min(len(h), sizes[-1] if sizes else 0) + 1):
+        s = s[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[m - 1 :]
+        if m in sizes:
+            yield m, mix(s + np.uint64(m))
+
+
+def _places(h: np.ndarray) -> np.ndarray:
+    """The bits of each hash, a row for each of SIEVE_HASHES."""
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    return (h + step * np.arange(SIEVE_HASHES, dtype=np.uint64)[:, None]) & np.uint64(SIEVE_BITS - 1)
+
+
+def _windows(window: int):
+    """size and place of each bit that an item's windows set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Words()
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for text in binary_text(batch):
+                    h = held.hashes(words_of(text))
+                    for m, hashes in _sequences(h, [min(window, len(h))]):
+                        at = _places(hashes).ravel().astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), m), pa.int32()), pa.array(at)], names=["size", "place"])
+
+    return tidied(run)
+
+
+def _sifter(bits, sizes: list[int], column: str):
+    """Adds maybe: whether the bitmap lets a sequence of the text's words through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = Words(), np.frombuffer(bits.value, np.uint8)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                maybe = []
+                for text in binary_text(batch, column):
+                    some = False
+                    for _, left in _sequences(held.hashes(words_of(text)), sizes):
+                        for k in range(SIEVE_HASHES):
+                            at = _places(left)[k].astype(np.int64)
+                            left = left[(known[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+                        if some := bool(len(left)):
+                            break
+                    maybe.append(some)
+                yield batch.append_column(pa.field("maybe", pa.bool_()), pa.array(maybe, pa.bool_()))
+
+    return tidied(run)
+
+
+def _through(rows: DataFrame, column: str, benchmark: DataFrame, window: int, most: int, scanned) -> DataFrame:
+    """rows after scanned(rows, part, last) for each part of the benchmark, at most two passes over those that hold no window."""
+    send = rows.sparkSession.sparkContext.broadcast
+    parts = _parts(benchmark, window, most)
+    part, last = next(parts)
+    if last:
+        return scanned(rows, send(part), True)
+    found = written(narrow(benchmark, {"text": "string"}).mapInArrow(_windows(window), "size int, place long").distinct(), "decontam-windows")
+    sizes = sorted(r.size_ for r in found.select(F.col("size").alias("size_")).distinct().collect())  # window at most
+    bits = send(bitmap(found, F.col("place"), SIEVE_BITS))
+    sifted = rows.mapInArrow(_sifter(bits, sizes, column), T.StructType([*rows.schema.fields, T.StructField("maybe", T.BooleanType())]))
+    held = written(sifted.where("maybe").drop("maybe"), "decontam-few")
+    held = scanned(held, send(part), False)
+    for part, last in parts:
+        held = scanned(written(held, "decontam"), send(part), last)
+    return scanned(sifted.where("not maybe").drop("maybe"), send(ItemAutomaton([], window)), True).unionByName(held)
+
+
 _FOUND = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 
 
@@ -199,11 +275,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_char
     spark = docs.sparkSession
     arrow_limits(spark)
     held = narrow(docs, {"doc_id": "long", "text": "string"}).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.expr("cast(array() as array<struct<start:int,end:int>>)"), "items": F.expr("cast(array() as array<string>)")})
-    for k, (part, _) in enumerate(_parts(benchmark, window, shard_chars)):
-        if k:
-            held = written(held, "decontam")
-        held = held.mapInArrow(_scanner(spark.sparkContext.broadcast(part)), f"doc_id long, text string, {_FOUND}")
-    return held
+    return _through(held, "text", benchmark, window, shard_chars, lambda rows, part, last: rows.mapInArrow(_scanner(part), f"doc_id long, text string, {_FOUND}"))
 
 
 def _scanner(part):
@@ -254,10 +326,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     at, schema, spans = names.index("text"), plain.schema, f"c{len(names)}"
     held = plain.withColumn(spans, F.expr("cast(array() as array<struct<start:int,end:int>>)"))
     marked = held.schema
-    for k, (part, last) in enumerate(_parts(benchmark, window, shard_chars)):
-        if k:
-            held = written(held, "decontam")
-        held = held.mapInArrow(_remover(docs.sparkSession.sparkContext.broadcast(part), f"c{at}", spans, last, max_coverage), schema if last else marked)
+    held = _through(held, f"c{at}", benchmark, window, shard_chars, lambda rows, part, last: rows.mapInArrow(_remover(part, f"c{at}", spans, last, max_coverage), schema if last else marked))
     out = held.toDF(*names)
     if "n_chars" in names:
         out = out.toDF(*(f"c{i}" for i in range(len(names)))).withColumn(f"c{names.index('n_chars')}", F.length(f"c{at}").cast(schema[names.index("n_chars")].dataType)).toDF(*names)

@@ -36,12 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from crestline.llm.common import arrow_limits, binary_text, narrow, tidied, written
+from crestline.llm.common import Words, arrow_limits, binary_text, bitmap, mix, narrow, tidied, written
 
 SHINGLE, SIMILARITY = 5, 80
 REGISTERS, MANTISSA = 128, 10
@@ -57,7 +56,6 @@ HOT_SHARE, HOT_ROWS = 1000, 1000
 SPLIT = 64
 #: Bits of the filter that tells which sets a round needs; false hits are joined away.
 FILTER_BITS = 1 << 24
-WORDS = 200_000
 
 _U = np.uint64
 _BITS = _U(57)
@@ -65,30 +63,12 @@ _BUCKET = np.arange(REGISTERS, dtype=np.uint64) << _BITS
 _REST = _U((1 << 57) - 1)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
-        return got
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> _U(33))
-    x = x * _U(0xFF51AFD7ED558CCD)
-    x ^= x >> _U(33)
-    x = x * _U(0xC4CEB9FE1A85EC53)
-    x ^= x >> _U(33)
-    return x
-
-
-def shingles(text: bytes, words: dict[bytes, int]) -> np.ndarray:
+def shingles(text: bytes, words: Words) -> np.ndarray:
     """The sorted, distinct 64-bit hashes of a text's shingles; of fewer words, one of them all."""
-    split = text.lower().split()
-    n = len(split)
+    h = words.hashes(text.lower().split())
+    n = len(h)
     if not n:
-        return np.zeros(0, np.uint64)
-    if len(words) > WORDS:
-        words.clear()
-    h = np.fromiter(map(words.__getitem__, split), np.uint64, n)
+        return h
     k = min(n, SHINGLE)
     s = h[: n - k + 1].copy()
     for i in range(1, k):
@@ -96,14 +76,14 @@ def shingles(text: bytes, words: dict[bytes, int]) -> np.ndarray:
         s += h[i : n - k + 1 + i]
     if k < SHINGLE:
         s += _U(k)
-    s = np.sort(_mix(s))
+    s = np.sort(mix(s))
     return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
 def fingerprint(s: np.ndarray) -> tuple[int, int]:
     """128 bits that tell a set."""
     with np.errstate(over="ignore"):
-        two = np.array([_mix(s + _U(0x1234567)).sum(), _mix(s ^ _U(0xABCDEF0123)).sum() + _U(len(s))], np.uint64)
+        two = np.array([mix(s + _U(0x1234567)).sum(), mix(s ^ _U(0xABCDEF0123)).sum() + _U(len(s))], np.uint64)
     return tuple(two.view(np.int64).tolist())
 
 
@@ -117,8 +97,8 @@ def registers(s: np.ndarray) -> np.ndarray:
     value[full] = (first[full] & _REST) << _U(7)
     step, r = min(256, max(1, 1024 // n)), 1
     while not full.all():
-        seeds = _mix(np.arange(r, r + step, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-        h = _mix(s[None, :] ^ seeds[:, None])
+        seeds = mix(np.arange(r, r + step, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+        h = mix(s[None, :] ^ seeds[:, None])
         keys = np.sort((h >> _BITS << _BITS | np.arange(step, dtype=np.uint64)[:, None] << _U(49) | (h & _REST) >> _U(8)).ravel())
         at = np.searchsorted(keys, _BUCKET)
         first = keys[np.minimum(at, len(keys) - 1)]
@@ -144,7 +124,7 @@ def key_registers(similarity: int) -> int:
 
 def _described(similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words = Words()
         with np.errstate(over="ignore"):
             for batch in batches:
                 n, one, two, sigs = [], [], [], []
@@ -165,7 +145,7 @@ def _sets(bits):
     """(fp1, fp2, set) of each set that the filter lets through, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, held = _Words(), set(), np.frombuffer(bits.value, np.uint8)
+        words, seen, held = Words(), set(), np.frombuffer(bits.value, np.uint8)
         with np.errstate(over="ignore"):
             for batch in batches:
                 one, two, sets = [], [], []
@@ -275,13 +255,8 @@ class _Classes:
         degree = shared.groupBy("node").agg(F.sum("c").alias("degree"))
         self.shared = written(shared.drop("c").join(degree, "node"), "dedup-shared")
         wanted = self.classes.join(self.shared.select("node").distinct(), "node").select("node", "n", "fp1", "fp2")
-        place = F.expr(f"(fp1 & {FILTER_BITS - 1}L) + 1")  # positions count from 1
-        maps = wanted.select(place.alias("k")).groupBy(F.bitmap_bucket_number("k").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("bits"))
-        bits = bytearray(FILTER_BITS // 8 + (1 << 12))
-        for bucket, some in maps.toLocalIterator():  # a bounded number of bounded bitmaps
-            at = (bucket - 1) * len(some)
-            bits[at : at + len(some)] = bytes(some)
-        sets = self.docs.mapInArrow(_sets(self.spark.sparkContext.broadcast(bytes(bits))), "fp1 long, fp2 long, shingles binary").dropDuplicates(["fp1", "fp2"])
+        bits = bitmap(wanted, F.expr(f"fp1 & {FILTER_BITS - 1}L"), FILTER_BITS)
+        sets = self.docs.mapInArrow(_sets(self.spark.sparkContext.broadcast(bits)), "fp1 long, fp2 long, shingles binary").dropDuplicates(["fp1", "fp2"])
         self.sets = written(wanted.join(sets, ["fp1", "fp2"]).select("node", "n", "shingles"), "dedup-sets")
 
     def passed(self, pairs: DataFrame) -> DataFrame:

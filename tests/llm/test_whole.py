@@ -254,3 +254,19 @@ def test_languages_by_a_plain_recurrence():
                 e = np.exp(np.concatenate([a, b]) @ m.out + m.bias)
                 total += e / e.sum()
         assert langid.document_sums(m, [text])[0] == pytest.approx(total, rel=1e-3, abs=1e-3)
+
+
+def test_only_documents_with_a_window_are_scanned_in_parts(spark, sf, monkeypatch):
+    """The sieve lets every hit through and, of a benchmark of this size, little else."""
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    hit = decontam.report(docs, items).where("contaminated").count()
+    sizes = {}
+
+    def counted(df, name):
+        out = written(df, name)
+        sizes.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(decontam, "written", counted)
+    assert decontam.report(docs, items, shard_chars=2000).where("contaminated").count() == hit
+    assert hit <= sizes["decontam-few"] <= hit + 2 < docs.count()
