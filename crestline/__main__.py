@@ -9,13 +9,15 @@ import time
 from dataclasses import replace
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from crestline.functions import geo
 from crestline.functions.geo import Affine
 from crestline.operators import sample, summary
 from crestline.operators import targets as grids
 from crestline.operators.targets import probes
 from crestline.plans import scans
-from crestline.sources import npy, raster, results, tiff
+from crestline.sources import figures, npy, raster, results, tiff
 from crestline.streaming import incremental
 
 DIALECTS = {d.name: d for d in (sample.CLASSIC, sample.FULLRES, sample.REGION)}
@@ -65,22 +67,33 @@ def _save(df, a: argparse.Namespace) -> None:
         df.write.mode("overwrite" if a.overwrite else "errorifexists").parquet(a.output)
 
 
+def _progress(done: int, total: int, seconds: float) -> None:
+    print(f"{done} of {total} targets, {1000 * seconds / done:.1f} ms each, {seconds / done * (total - done) / 60:.1f} min left")
+
+
 def _run(spark: SparkSession, a: argparse.Namespace, dem: raster.Dem, targets, scan, **settings) -> None:
     """A scan from targets to output: what a few probes cost, slices that a later call resumes, metadata, a summary.
 
     With --resume the results are a Parquet table, to which finished slices are appended; what is there isn't scanned
-    again. Ctrl-C between or within slices loses the slice that was on its way.
+    again. Ctrl-C between or within slices loses the slice that was on its way, and no more.
     """
     total = targets.count()
-    if a.probe and total:
-        few = probes(targets, a.probe)
+    if not total:
+        print("no targets, nothing to scan")
+        return
+    if a.probe:
+        few = targets.orderBy("target_id").limit(a.probe) if a.probe_first else probes(targets, a.probe)
         began = time.perf_counter()
         n = few.count()
         scan(few).count()
         each = (time.perf_counter() - began) / max(1, n)
         print(f"{n} probes took {each * 1000:.1f} ms a target; {total} targets take at most {each * total / 60:.1f} min")
     if a.resume:
-        held = incremental.in_slices(targets, scan, a.output, a.slice)
+        try:
+            held = incremental.in_slices(targets, scan, a.output, a.slice, seconds=a.checkpoint_seconds, told=_progress)
+        except KeyboardInterrupt:
+            spark.sparkContext.cancelAllJobs()
+            raise SystemExit(f"stopped; finished slices are in {a.output}, and the same command goes on") from None
     else:
         _save(scan(targets), a)
         held = None
@@ -147,6 +160,23 @@ def histogram(spark: SparkSession, a: argparse.Namespace) -> None:
         return
     summary.histogram(rows, a.column, a.bins, "file").orderBy("file", "bin").show(10_000, False)
     summary.run_stats(rows, a.column, "file").show(truncate=False)
+    if a.figures:
+        os.makedirs(a.figures, exist_ok=True)
+        each = summary.histogram(rows, a.column, a.bins, "file")
+        for name in sorted(r.file for r in each.select("file").distinct().collect()):
+            figures.histogram_figure(each.where(F.col("file") == name), os.path.join(a.figures, f"{os.path.splitext(name)[0]}_{a.column}.png"))
+        figures.histogram_figure(summary.histogram(rows, a.column, a.bins, "file", shared=True), os.path.join(a.figures, f"all_{a.column}.png"), "file")
+
+
+def figure(spark: SparkSession, a: argparse.Namespace) -> None:
+    rows = results.read_table(spark, a.input) if a.input.lower().endswith((".csv", ".json")) else spark.read.parquet(a.input)
+    if a.kind == "map":
+        lat, lon = summary.pick(rows, summary.LAT_NAMES), summary.pick(rows, summary.LON_NAMES)
+        n = figures.map_figure(rows, a.column, a.output, lat, lon)
+    else:
+        x, y, z = geo.cartesian("lat", "lon", "h_target", a.exaggeration)
+        n = figures.cloud_figure(rows.select(x.alias("x"), y.alias("y"), z.alias("z"), F.col(a.column).alias("value")), a.output, *a.view)
+    print(f"{n} pixels drawn")
 
 
 def inspect(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -170,7 +200,9 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--azimuths", type=int, default=360)
             p.add_argument("--resume", action="store_true", help="append finished slices to a Parquet table, and go on where it ends")
             p.add_argument("--slice", type=int, default=100_000, help="targets between two commits")
+            p.add_argument("--checkpoint-seconds", type=float, help="how often to commit; slices become as long")
             p.add_argument("--probe", type=int, default=0, help="targets to time first")
+            p.add_argument("--probe-first", action="store_true", help="time the first targets, not spread ones")
         if dialect:
             p.add_argument("--dialect", choices=DIALECTS, default=dialect)
         return p
@@ -225,6 +257,14 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("input")
     p.add_argument("--column", default="worst_angle_deg")
     p.add_argument("--bins", type=int, default=30)
+    p.add_argument("--figures", help="folder for a figure of each file, and one of all")
+    p = add(figure)
+    p.add_argument("input")
+    p.add_argument("output")
+    p.add_argument("--kind", choices=("map", "cloud"), default="map")
+    p.add_argument("--column", default="worst_angle_deg")
+    p.add_argument("--exaggeration", type=float, default=1.0)
+    p.add_argument("--view", type=float, nargs=2, default=(30.0, 20.0), metavar=("AZIMUTH", "ELEVATION"))
     p = add(inspect)
     p.add_argument("input")
     return top

@@ -82,7 +82,7 @@ def read_gain_cuts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Base maps as bytes; decoding them is for the driver."""
+    """Base maps as bytes; figures.read_pixels decodes PNG files."""
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
 

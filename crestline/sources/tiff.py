@@ -21,6 +21,10 @@ from crestline.sources.npy import Band
 _FIELDS = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4), 11: ("f", 4), 12: ("d", 8)}
 WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, ROWS_PER_STRIP, SAMPLE_FORMAT = 256, 257, 258, 259, 273, 277, 278, 339
 PIXEL_SCALE, TIE_POINT, NODATA = 33550, 33922, 42113
+#: Tags of the coordinate system's keys and texts; keys of the model and of systems' codes and names; models.
+GEO_KEYS, GEO_TEXT = 34735, 34737
+MODEL, CODES, NAMES = 1024, (3072, 2048), (1026, 3073, 2049)
+PROJECTED, GEOGRAPHIC, NO_CODE = 1, 2, 32767
 
 
 def tags(path: str) -> tuple[str, dict[int, tuple]]:
@@ -70,11 +74,24 @@ class Layout:
                 yield row, data[row - begin]
 
 
+def coordinate_system(t: dict[int, tuple]) -> dict | None:
+    """Whether coordinates are degrees or metres of a projection, and the system's code and name, by a file's tags."""
+    if GEO_KEYS not in t:
+        return None
+    words, text = t[GEO_KEYS], t.get(GEO_TEXT, (b"",))[0].rstrip(b"\0").decode("latin-1")
+    found = {}
+    for key, place, n, value in zip(*(words[4 + k : 4 + 4 * words[3] : 4] for k in range(4))):
+        found[key] = value if place == 0 else text[value : value + n].rstrip("|") if place == GEO_TEXT else None
+    model = found.get(MODEL)
+    codes = [found[k] for k in CODES if found.get(k) not in (None, NO_CODE)]
+    return {"projected": model == PROJECTED, "geographic": model == GEOGRAPHIC, "code": codes[0] if codes else None, "name": next((found[k] for k in NAMES if found.get(k)), None)}
+
+
 def inspect(path: str) -> dict:
-    """Shape, type, nodata value, transform, bounds and pixel size of a file."""
+    """Shape, type, nodata value, coordinate system, transform, bounds and pixel size of a file."""
     held = Layout(path)
     t = held.transform
-    out = {"shape": [held.n_rows, held.n_cols], "dtype": held.dtype.name, "nodata": held.nodata, "transform": None, "bounds": None, "pixel_size_m": None}
+    out = {"shape": [held.n_rows, held.n_cols], "dtype": held.dtype.name, "nodata": held.nodata, "crs": coordinate_system(tags(path)[1]), "transform": None, "bounds": None, "pixel_size_m": None}
     if t is not None:
         bounds = {"left": t.c, "top": t.f, "right": t.c + t.a * held.n_cols, "bottom": t.f + t.e * held.n_rows}
         out |= {"transform": [t.a, t.b, t.c, t.d, t.e, t.f], "bounds": bounds, "pixel_size_m": abs(t.a)}

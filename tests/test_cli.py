@@ -8,6 +8,7 @@ import pytest
 from crestline.__main__ import main
 from crestline.functions.geo import RADIUS_M
 from crestline.sources import tiff
+from crestline.sources.figures import png_pixels
 
 
 def write_tiff(path, data, scale, tie, nodata, order="<", strip=7):
@@ -57,6 +58,13 @@ def test_tiff(spark, picture):
         tiff.tags(str(path))
 
 
+def test_coordinate_system():
+    keys = (1, 1, 0, 3, 1024, 0, 1, 1, 1026, 34737, 5, 0, 3072, 0, 1, 32767)
+    assert tiff.coordinate_system({34735: keys, 34737: (b"Moon|\0",)}) == {"projected": True, "geographic": False, "code": None, "name": "Moon"}
+    assert tiff.coordinate_system({34735: (1, 1, 0, 2, 1024, 0, 1, 2, 2048, 0, 1, 30100)})["code"] == 30100
+    assert tiff.coordinate_system({}) is None
+
+
 def test_commands(spark, picture, capsys):
     path, data = picture
     at = lambda x: str(path.parent / x)
@@ -74,6 +82,11 @@ def test_commands(spark, picture, capsys):
     main(["box", at("dem"), at("heights"), "--elevation-only", "--spacing", "50"], spark)
     main(["point", at("dem"), "1", "2", "--azimuths", "4"], spark)
     main(["histogram", at("grid.csv"), "--bins", "3"], spark)
+    main(["histogram", at("grid.csv"), "--bins", "3", "--figures", at("drawn")], spark)
+    main(["figure", at("grid.csv"), at("map.png")], spark)
+    main(["figure", at("grid.json"), at("cloud.png"), "--kind", "cloud"], spark)
+    names = [path.parent / "map.png", path.parent / "cloud.png", *(path.parent / "drawn").iterdir()]
+    assert len(names) >= 4 and all(len({tuple(p) for p in png_pixels(x.read_bytes()).reshape(-1, 3).tolist()}) > 2 for x in names)
     main(["inspect", str(path)], spark)
     assert spark.read.parquet(at("polar")).count() > 0 and spark.read.parquet(at("heights")).count() > 0
     with pytest.raises(FileExistsError):
@@ -87,10 +100,13 @@ def test_runs_resume(spark, picture, capsys):
     at = lambda x: str(picture[0].parent / x)
     main(["ingest", str(picture[0]), at("dem"), "--scale", "0.5", "--raw", "--chunk-mb", "0.001"], spark)
     assert spark.read.parquet(at("dem/rows")).where("chunk = 1").count() > 0 and any(x.name == "chunk=1" for x in (picture[0].parent / "dem/rows").iterdir())
-    box = ["box", at("dem"), at("run"), "--lat", "-6", "4", "--lon", "0", "9", "--spacing", "50", "--radius", "60", "--azimuths", "4", "--resume", "--slice", "11"]
-    main([*box, "--probe", "2"], spark)
+    capsys.readouterr()
+    main(["grid", at("dem"), at("none"), "--stride", "12", "--lat-max", "-95"], spark)
+    assert "no targets" in capsys.readouterr().out
+    box = ["box", at("dem"), at("run"), "--lat", "-6", "4", "--lon", "0", "9", "--spacing", "50", "--radius", "60", "--azimuths", "4", "--resume", "--slice", "11", "--checkpoint-seconds", "0.01"]
+    main([*box, "--probe", "2", "--probe-first"], spark)
     said = capsys.readouterr().out
-    assert "2 probes took" in said and "v_p95" in said
+    assert "2 probes took" in said and "v_p95" in said and "min left" in said
     n = spark.read.parquet(at("run")).count()
     files = len(spark.read.parquet(at("run")).inputFiles())
     main(box, spark)

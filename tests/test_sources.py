@@ -1,6 +1,8 @@
 import csv
 import json
 import os
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from crestline.functions import geo
 from crestline.functions.geo import Affine
 from crestline.operators import summary
-from crestline.sources import npy, raster, results
+from crestline.sources import figures, npy, raster, results
 from crestline.streaming import incremental
 
 ROW = (1, 2, 3.5, 4.5, -10.25, 30.0, 1.5, 0.0, -0.5)
@@ -60,6 +62,54 @@ def test_images(spark, tmp_path):
     assert results.read_images(spark, str(tmp_path / "m.png")).first().length == 3
 
 
+@pytest.mark.parametrize("colour", [0, 2, 3, 4, 6])
+def test_png(spark, tmp_path, colour):
+    """Each filter undone, by a file whose lines were filtered by the definition."""
+    n, height, width = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour], 10, 7
+    held = np.random.default_rng(colour).integers(0, 256, (height, width, n))
+    flat, body = held.reshape(height, -1), b""
+    at = lambda y, x: int(flat[y, x]) if y >= 0 and x >= 0 else 0
+    for y in range(height):
+        line = [y % 5]
+        for x in range(width * n):
+            a, b, c = at(y, x - n), at(y - 1, x), at(y - 1, x - n)
+            p = a + b - c
+            paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            line.append((at(y, x) - (0, a, b, (a + b) // 2, paeth)[y % 5]) % 256)
+        body += bytes(line)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    palette = np.random.default_rng(9).integers(0, 256, (256, 3)).astype(np.uint8)
+    whole = chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)) + chunk(b"PLTE", palette.tobytes()) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+    (tmp_path / "m.png").write_bytes(b"\x89PNG\r\n\x1a\n" + whole)
+    expected = palette[held[:, :, 0]] if colour == 3 else held[:, :, :3] if n > 2 else held[:, :, :1].repeat(3, 2)
+    rows = sorted(figures.read_pixels(spark, str(tmp_path / "m.png")).collect(), key=lambda r: r.image_row)
+    assert [r.rgb for r in rows] == expected.reshape(height, -1).tolist()
+    again = figures.png_pixels(figures.png_bytes(expected.astype(np.uint8)))
+    assert (again == expected).all()
+
+
+def test_figures(spark, tmp_path):
+    rows = spark.createDataFrame([(float(v), "ab"[v % 2]) for v in range(10)] + [(None, "a")], "v double, g string")
+    path = str(tmp_path / "h.png")
+    assert figures.histogram_figure(summary.histogram(rows, "v", 5, "g", shared=True), path, "g") == 2
+    assert figures.histogram_figure(summary.histogram(rows, "v", 5), path) == 1
+    pixels = figures.png_pixels(open(path, "rb").read())
+    assert pixels.shape == (600, 800, 3) and (pixels[300, 100] == figures.COLOURS[0]).all()  # equal bars fill the figure
+    assert figures.histogram_figure(summary.histogram(rows.where("v is null"), "v", 5), path) == 0
+    at = spark.createDataFrame([(0.0, 0.0, 1.0), (10.0, 10.0, 2.0), (10.0, 10.0, 4.0), (5.0, None, 1.0)], "lat double, lon double, v double")
+    assert figures.map_figure(at, "v", path) == 2
+    points = spark.createDataFrame([(1.0, 0.0, 0.0, 5.0), (-1.0, 0.0, 0.0, 1.0), (0.0, 1.0, 0.0, 3.0)], "x double, y double, z double, value double")
+    assert figures.cloud_figure(points, path, 0.0, 0.0) == 2  # two in one line, the nearer shows
+    high = figures.png_pixels(open(path, "rb").read())
+    assert (high == figures.RAMP[-1].astype(np.uint8)).all(axis=2).any() and figures.cloud_figure(points.limit(0), path) == 0
+
+
+def test_slices_follow_the_clock(spark, tmp_path):
+    grid, said = spark.range(40).select(F.col("id").alias("target_id")), []
+    held = incremental.in_slices(grid, lambda t: t, str(tmp_path / "out"), 10, seconds=1e-6, told=lambda *x: said.append(x[:2]))
+    assert said[:3] == [(10, 40), (11, 40), (12, 40)] and said[-1] == (40, 40) and held.count() == 40
+
+
 def test_npy(spark, tmp_path):
     data = np.arange(60, dtype=np.float32).reshape(10, 6)
     data[3, 2] = np.nan
